@@ -196,8 +196,9 @@ WITH {WINDOWED_SQL} {GAPS_SQL}
     count(*) FILTER (secure_channel_id <> 0) AS cn,
     count(DISTINCT security_token_id) FILTER (security_token_id <> 0) AS tu,
     count(DISTINCT service_type) AS su,
-    count_if(service_type = 'OpenSecureChannel') AS so,
-    count_if(service_type = 'CloseSecureChannel') AS sc, count_if(service_type = 'Error') AS se
+    count(*) FILTER (service_type = 'OpenSecureChannel') AS so,
+    count(*) FILTER (service_type = 'CloseSecureChannel') AS sc,
+    count(*) FILTER (service_type = 'Error') AS se
   FROM windowed WHERE protocol = 'opcua' GROUP BY {GROUP_SQL})
 SELECT {KEY_SQL}, message_count, bytes_total, bytes_mean, bytes_std, bytes_min, bytes_max,
   round(iat_mean, 3) AS iat_mean, round(iat_std, 3) AS iat_std, round(iat_min, 3) AS iat_min,

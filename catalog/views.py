@@ -145,3 +145,117 @@ def comparable(df: DataFrame) -> DataFrame:
         else:
             columns.append(F.col(name))
     return df.select(*columns)
+
+
+def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scored anomaly per event; most incidents and locks span hours in these sparse data."""
+    from tidegauge.operators.classify import classify
+
+    k, v, user, event = F.col("k"), F.col("v"), F.col("user_id"), F.col("event_id")
+    seconds = F.floor(F.col("ts_us") / 1000000)
+    shares = {
+        "addr_range": (k * 7) % 100 / 100,
+        "bytes_mean": v % 100 / 100,
+        "fc_entropy": k / 100,
+        "iat_std": event % 100 / 100,
+        "message_count": user % 10 / 10,
+        "qty_mean": F.lit(0.5),
+    }
+    return events(spark, sf_dir).select(
+        event.alias("anomaly_id"),
+        F.concat(F.lit("10.0.0."), user % 4).alias("src_ip"),
+        F.concat(F.lit("10.0.1."), user % 3).alias("dst_ip"),
+        pick(["modbus", "dnp3", "opcua"], event % 3).alias("protocol"),
+        F.lit(3600).alias("window_size"),
+        (seconds - seconds % 3600).alias("window_start"),
+        seconds.alias("detected_s"),
+        (k / 100).alias("ensemble_score"),
+        classify(k / 100).alias("classification"),
+        pick(["reconnaissance", "timing_anomaly", "volume_anomaly", "unknown", None], user % 5).alias(
+            "anomaly_type"
+        ),
+        ((100 - v % 50) / 100).alias("confidence"),
+        F.create_map(*[x for n, c in shares.items() for x in (F.lit(n), c)]).alias(
+            "feature_contributions"
+        ),
+    )
+
+
+ANOMALIES_SQL = """
+numbered AS (
+  SELECT event_id, user_id, epoch_us(ts) // 1000000 AS detected_s,
+         CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+         CAST(floor(value) AS BIGINT) AS v
+  FROM events),
+anomalies AS (
+  SELECT event_id AS anomaly_id, '10.0.0.' || (user_id % 4) AS src_ip,
+         '10.0.1.' || (user_id % 3) AS dst_ip,
+         (['modbus', 'dnp3', 'opcua'])[event_id % 3 + 1] AS protocol,
+         3600 AS window_size, detected_s - detected_s % 3600 AS window_start, detected_s,
+         CAST(k AS DOUBLE) / 100 AS ensemble_score,
+         CASE WHEN k >= 90 THEN 'critical' WHEN k >= 70 THEN 'anomaly'
+              WHEN k >= 40 THEN 'suspicious' ELSE 'normal' END AS classification,
+         (['reconnaissance', 'timing_anomaly', 'volume_anomaly', 'unknown', NULL])[user_id % 5 + 1]
+           AS anomaly_type,
+         CAST(100 - v % 50 AS DOUBLE) / 100 AS confidence,
+         [{'o': -((k * 7) % 100) / 100.0, 'n': 'addr_range'}, {'o': -(v % 100) / 100.0, 'n': 'bytes_mean'},
+          {'o': -k / 100.0, 'n': 'fc_entropy'}, {'o': -(event_id % 100) / 100.0, 'n': 'iat_std'},
+          {'o': -(user_id % 10) / 10.0, 'n': 'message_count'}, {'o': -0.5, 'n': 'qty_mean'}] AS shares
+  FROM numbered)
+"""
+
+# incidents by gap, numbered, over the anomalies that are not normal
+CORRELATED_SQL = ANOMALIES_SQL + f""",
+stepped AS (
+  SELECT *, src_ip || ':' || dst_ip || ':' || protocol AS correlation_key,
+         detected_s - lag(detected_s) OVER (
+           PARTITION BY src_ip, dst_ip, protocol ORDER BY detected_s, anomaly_id) AS step
+  FROM anomalies WHERE classification <> 'normal'),
+sessions AS (
+  SELECT *, sum(CASE WHEN step IS NULL OR step > {GAP_S} THEN 1 ELSE 0 END) OVER (
+           PARTITION BY correlation_key ORDER BY detected_s, anomaly_id) AS session
+  FROM stepped),
+started AS (
+  SELECT *, min(detected_s) OVER (PARTITION BY correlation_key, session) AS incident_started_s,
+         row_number() OVER (PARTITION BY correlation_key, session ORDER BY detected_s, anomaly_id)
+           AS incident_seq
+  FROM sessions),
+correlated AS (
+  SELECT *, left(sha256(correlation_key || '|' || incident_started_s || '|0'), 32) AS incident_id,
+         left(sha256('alert|' || anomaly_id), 32) AS alert_id,
+         correlation_key || ':' || coalesce(anomaly_type, 'None') AS dedup_key,
+         CASE WHEN ensemble_score >= 0.9 THEN 'critical' WHEN ensemble_score >= 0.7 THEN 'medium'
+              WHEN classification = 'critical' THEN 'critical'
+              WHEN classification = 'anomaly' THEN 'medium' ELSE 'low' END AS severity
+  FROM started)
+"""
+
+# the alerts that pass the timed lock, found one after the other
+PASSED_SQL = f"""
+passed(dedup_key, hit_s) AS (
+  SELECT dedup_key, min(detected_s) FROM correlated GROUP BY dedup_key
+  UNION ALL
+  SELECT p.dedup_key, min(c.detected_s)
+  FROM passed p JOIN correlated c ON c.dedup_key = p.dedup_key AND c.detected_s >= p.hit_s + {TTL_S}
+  GROUP BY p.dedup_key),
+first_of AS (
+  SELECT c.dedup_key, c.detected_s, min(anomaly_id) AS anomaly_id
+  FROM correlated c JOIN passed p ON c.dedup_key = p.dedup_key AND c.detected_s = p.hit_s
+  GROUP BY c.dedup_key, c.detected_s),
+handled AS (
+  SELECT c.*, f.anomaly_id IS NULL AS suppressed
+  FROM correlated c LEFT JOIN first_of f USING (dedup_key, detected_s, anomaly_id))
+"""
+
+HANDLED_SQL = CORRELATED_SQL + "," + PASSED_SQL
+
+# running priority over the alerts that pass
+PRIORITY_SQL = HANDLED_SQL + """,
+ranked AS (
+  SELECT *, min(CASE WHEN suppressed THEN 4 ELSE least(
+             CASE WHEN incident_seq >= 20 THEN 1 WHEN incident_seq >= 10 THEN 2
+                  WHEN incident_seq >= 5 THEN 3 ELSE 4 END,
+             CASE WHEN severity = 'critical' THEN 2 ELSE 4 END) END)
+           OVER (PARTITION BY incident_id ORDER BY detected_s, anomaly_id) AS rank
+  FROM handled)
+"""
