@@ -192,7 +192,7 @@ TEXT_SQL = f"""
     || chr(10) || '  Confidence: ' || printf('%.3f', confidence)
     || CASE WHEN anomaly_type IS NULL THEN '' ELSE chr(10) || '  Type: ' || anomaly_type END
     || chr(10) || '  Top Features:' || chr(10)
-    || array_to_string(['    - ' || x.n || ': ' || printf('%.3f', CAST(-x.o AS DOUBLE))
+    || array_to_string(['    - ' || x.n || ': ' || printf('%.3f', abs(CAST(x.o AS DOUBLE)))
                         for x in list_sort(shares)[1:5]], chr(10))"""
 
 

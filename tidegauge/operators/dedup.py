@@ -10,9 +10,6 @@ single seconds is spread over blocks, and equal seconds of a key are merged befo
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +64,8 @@ def passing_seconds(
     blocks = blocks.withColumn("run_length", F.count(F.lit(1)).over(Window.partitionBy(key, "run")))
 
     # a block without a neighbour before it starts unlocked: no lock is as long as a block
-    alone = blocks.filter(F.col("run_length") == 1).select(
-        key, "events", F.lit(None).cast("bigint").alias("entry")
-    )
-    chained = blocks.filter(F.col("run_length") > 1)
-    entries = _chain(chained, key, ttl_s, block_s)
-    resolved = alone.unionByName(
-        chained.join(entries, [key, "block"]).select(key, "events", "entry")
-    )
+    entries = _chain(blocks.filter(F.col("run_length") > 1), key, ttl_s, block_s)
+    resolved = blocks.join(entries, [key, "block"], "left")
     kept = resolved.select(key, F.explode(_replay(F.col("entry"))).alias("e"))
     return kept.select(key, F.col("e.at").alias(time), F.col("e.first_order").alias("first_order"))
 
@@ -122,34 +113,35 @@ def _replay(entry: Column) -> Column:
 
 
 def _chain(chained: DataFrame, key: str, ttl_s: int, block_s: int) -> DataFrame:
-    """Lock end on entry of every block of a run: `key, block, entry`."""
+    """Lock end on entry of every block of a run: `key, block, entry`.
+
+    A row gathers one small table per block of the run, so its size follows the time the run
+    lasts and not the number of alerts in it.
+    """
     reach = F.col("block") * block_s + ttl_s  # an earlier lock ends before this
     early = F.filter("events", lambda e: e["at"] < reach)
     starts = F.slice("events", 1, F.size(early) + 1)
-    tables = chained.select(
-        key,
-        "run",
-        "block",
-        F.transform(starts, lambda e: e["at"]).alias("starts"),
-        F.transform(starts, lambda e: _lock_after(e["at"])).alias("exits"),
+    steps = F.transform(
+        starts, lambda e: F.struct(e["at"].alias("start"), _lock_after(e["at"]).alias("exit"))
     )
-
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        lock: int | None = None
-        entered = []
-        for starts, exits in zip(group["starts"], group["exits"]):
-            entered.append(lock)
-            at = 0 if lock is None else bisect.bisect_left(starts, lock)
-            if at < len(starts):
-                lock = int(exits[at])
-        return pd.DataFrame({
-            key: group[key].to_numpy(),
-            "block": group["block"].to_numpy(),
-            "entry": pd.array(entered, dtype="Int64"),
-        })
-
-    key_type = chained.schema[key].dataType.simpleString()
-    return tables.groupBy(key, "run").applyInPandas(
-        follow, f"{key} {key_type}, block bigint, entry bigint"
+    runs = (
+        chained.select(key, "run", F.struct("block", steps.alias("steps")).alias("table"))
+        .groupBy(key, "run")
+        .agg(F.array_sort(F.collect_list("table")).alias("tables"))
+    )
+    no_entries = F.array().cast("array<struct<block:bigint,entry:bigint>>")
+    start = F.struct(F.lit(None).cast("bigint").alias("lock"), no_entries.alias("entries"))
+    entries = F.aggregate("tables", start, _enter, lambda state: state["entries"])
+    return runs.select(key, F.explode(entries).alias("e")).select(key, "e.block", "e.entry")
+
+
+def _enter(state: Column, table: Column) -> Column:
+    lock = state["lock"]
+    taken = F.filter(table["steps"], lambda s: lock.isNull() | (s["start"] >= lock))
+    return F.struct(
+        F.coalesce(F.get(taken, F.lit(0))["exit"], lock).alias("lock"),
+        F.concat(
+            state["entries"],
+            F.array(F.struct(table["block"].alias("block"), lock.alias("entry"))),
+        ).alias("entries"),
     )
