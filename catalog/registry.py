@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("alerting",)
+MODULES = ("packets", "features", "alerting")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

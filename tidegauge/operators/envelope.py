@@ -12,6 +12,7 @@ from tidegauge.operators.packets import is_ip
 
 ENVELOPE = ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port"]
 CLOCK_SKEW_S = 300
+DECODERS = {"modbus": modbus, "dnp3": dnp3, "opcua": opcua}
 
 # canonical message columns and their types
 FLAT_COLUMNS = {
@@ -26,31 +27,42 @@ FLAT_COLUMNS = {
 }
 
 
+def decode_payload(df: DataFrame, protocol: str, payload: str = "payload") -> DataFrame:
+    """Add the decoded struct of one protocol, for rows whose payload is not NULL."""
+    return _apply_steps(df, [DECODERS[protocol].steps(F.col(payload))])
+
+
 def decode_packets(df: DataFrame) -> DataFrame:
     """Every packet with its decoded body and, where it is dropped, the reason.
 
-    One projection over the packet table: no shuffle, no Python.
+    A chain of projections over the packet table: no shuffle, no Python. The reason depends on the
+    payload and the protocol alone, so a filter on it runs below the decoding.
     """
-    payload = F.col("payload")
     protocol = F.lower("ics_protocol")
-    decoded = df.withColumn("payload", by.decode_hex(F.col("payload_hex"))).select(
-        "*",
-        F.when(protocol == "modbus", modbus.decode_modbus(payload)).alias("modbus"),
-        F.when(protocol == "dnp3", dnp3.decode_dnp3(payload)).alias("dnp3"),
-        F.when(protocol == "opcua", opcua.decode_opcua(payload)).alias("opcua"),
-    )
-    body = F.coalesce(
-        F.col("modbus").isNotNull() | F.col("dnp3").isNotNull() | F.col("opcua").isNotNull(),
-        F.lit(False),
+    staged = df.withColumn("payload", by.decode_hex(F.col("payload_hex")))
+    of_protocol = lambda name: F.when(protocol == name, F.col("payload"))
+    decoded = _apply_steps(
+        staged, [decoder.steps(of_protocol(name)) for name, decoder in DECODERS.items()]
     )
-    reason = (
-        F.when(F.col("payload").isNull(), "bad_hex")
-        .when(~F.coalesce(protocol.isin("modbus", "dnp3", "opcua"), F.lit(False)), "unknown_protocol")
-        .when(~body, "undecodable")
+    reason = F.when(F.col("payload").isNull(), "bad_hex").when(
+        ~F.coalesce(protocol.isin(*DECODERS), F.lit(False)), "unknown_protocol"
     )
+    for name, decoder in DECODERS.items():
+        reason = reason.when(
+            (protocol == name) & ~decoder.is_decodable(F.col("payload")), "undecodable"
+        )
     return decoded.withColumn("reject_reason", reason)
 
 
+def _apply_steps(df: DataFrame, plans: list[list[dict[str, Column]]]) -> DataFrame:
+    kept = df.columns
+    for level in range(max(len(plan) for plan in plans)):
+        added = [plan[level] for plan in plans if level < len(plan)]
+        df = df.withColumns({name: c for columns in added for name, c in columns.items()})
+    results = [name for plan in plans for name in plan[-1]]
+    return df.select(*kept, *results)
+
+
 def route_by_protocol(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decoded packets, and the ones dropped with the reason."""
     decoded = decode_packets(df)

@@ -1,4 +1,4 @@
-"""Modbus/TCP decoding as one struct expression."""
+"""Modbus/TCP decoding in column steps."""
 
 from __future__ import annotations
 
@@ -16,36 +16,37 @@ def is_decodable(payload: Column) -> Column:
     return by.size(payload) >= HEADER
 
 
-def _registers(body: Column, offset: int) -> Column:
-    """Whole big-endian words from `offset`; an odd last byte is left out, no words is NULL."""
-    words = F.floor((by.size(body) - offset) / 2).cast("int")
-    return F.when(
-        words > 0,
-        F.transform(
-            F.sequence(F.lit(0), words - 1), lambda i: by.u16be(body, F.lit(offset) + i * 2)
-        ),
-    )
-
-
-def decode_modbus(payload: Column) -> Column:
-    """Struct of the decoded message; NULL for a payload too short to hold a header."""
-    raw_code = by.u8(payload, 7)
-    code = raw_code.bitwiseAND(F.lit(0x7F)).cast("int")
+def steps(payload: Column) -> list[dict[str, Column]]:
+    """Columns to add one step after the other; the last one is the decoded struct, NULL for a
+    payload too short to hold a header. Steps keep shared slices in columns of their own."""
+    raw_code, body = F.col("_mb_raw_code"), F.col("_mb_body")
+    code, length = F.col("_mb_code"), F.col("_mb_length")
     exception = by.flag(raw_code, 0x80)
-    body = by.rest(payload, HEADER)
-    length = by.size(body)
+    shape = F.col("_mb_shape")
+    return [
+        {"_mb": F.when(is_decodable(payload), payload)},
+        {"_mb_raw_code": by.u8(F.col("_mb"), 7), "_mb_body": by.rest(F.col("_mb"), HEADER)},
+        {
+            "_mb_code": raw_code.bitwiseAND(F.lit(0x7F)).cast("int"),
+            "_mb_length": by.size(body),
+        },
+        {
+            # four bytes after a register read count as a request, also when they are a response
+            "_mb_shape": F.when(exception, "exception")
+            .when(code.isin(1, 2), F.when(length >= 4, "request"))
+            .when(
+                code.isin(3, 4),
+                F.when(length == 4, "request").when(length > 0, "response"),
+            )
+            .when(code.isin(5, 6), F.when(length >= 4, "single"))
+            .when(code.isin(15, 16), F.when(length >= 5, "multiple"))
+            .otherwise("other")
+        },
+        {"modbus": F.when(F.col("_mb").isNotNull(), _message(F.col("_mb"), body, code, shape, length))},
+    ]
 
-    plain = ~exception
-    reads = plain & code.isin(1, 2, 3, 4)
-    # four bytes after a register read are taken for a request, also when they are a response
-    request = (plain & code.isin(1, 2) & (length >= 4)) | (
-        plain & code.isin(3, 4) & (length == 4)
-    )
-    response = plain & code.isin(3, 4) & (length > 0) & (length != 4)
-    single = plain & code.isin(5, 6) & (length >= 4)
-    multiple = plain & code.isin(15, 16) & (length >= 5)
-    other = plain & ~reads & ~code.isin(5, 6, 15, 16)
 
+def _message(payload: Column, body: Column, code: Column, shape: Column, length: Column) -> Column:
     decoded = {
         "transaction_id": by.u16be(payload, 0),
         "protocol_id": by.u16be(payload, 2),
@@ -53,16 +54,28 @@ def decode_modbus(payload: Column) -> Column:
         "unit_id": by.u8(payload, 6),
         "function_code": code,
         "function_name": names.modbus_function_name(code),
-        "is_exception": exception,
-        "exception_code": F.when(exception & (length > 0), by.u8(body, 0)),
-        "start_address": F.when(request | single | multiple, by.u16be(body, 0)),
-        "quantity": F.when(request | multiple, by.u16be(body, 2)),
-        "byte_count": F.when(response, by.u8(body, 0)).when(multiple, by.u8(body, 4)),
-        "values": F.when(response, _registers(body, 1))
-        .when(single, F.array(by.u16be(body, 2)))
-        .when(multiple, _registers(body, 5)),
-        "coil_status": F.lit(None).cast("array<boolean>"),
-        "raw_data": F.when(other, by.hex_text(body)),
+        "is_exception": F.coalesce(shape == "exception", F.lit(False)),
+        "exception_code": F.when((shape == "exception") & (length > 0), by.u8(body, 0)),
+        "start_address": F.when(shape.isin("request", "single", "multiple"), by.u16be(body, 0)),
+        "quantity": F.when(shape.isin("request", "multiple"), by.u16be(body, 2)),
+        "byte_count": F.when(shape == "response", by.u8(body, 0)).when(
+            shape == "multiple", by.u8(body, 4)
+        ),
+        "values": F.when(shape == "response", _registers(body, 1, length))
+        .when(shape == "single", F.array(by.u16be(body, 2)))
+        .when(shape == "multiple", _registers(body, 5, length)),
+        "coil_status": F.lit(None),
+        "raw_data": F.when(shape == "other", body),
     }
-    fields = [decoded[f.name].cast(f.dataType).alias(f.name) for f in schemas.MODBUS.fields]
-    return F.when(is_decodable(payload), F.struct(*fields))
+    return F.struct(*[decoded[f.name].cast(f.dataType).alias(f.name) for f in schemas.MODBUS.fields])
+
+
+def _registers(body: Column, offset: int, length: Column) -> Column:
+    """Whole big-endian words from `offset`; an odd last byte is left out, no words is NULL."""
+    words = F.floor((length - offset) / 2).cast("int")
+    return F.when(
+        words > 0,
+        F.transform(
+            F.sequence(F.lit(0), words - 1), lambda i: by.u16be(body, i * 2 + offset)
+        ),
+    )
