@@ -11,15 +11,21 @@ from tidegauge.operators import envelope, features
 from tidegauge.operators import packets as pk
 from tidegauge.operators.windows import WINDOW
 
-K, V, USER, EVENT = F.col("k"), F.col("v"), F.col("user_id"), F.col("event_id")
+
+def _columns() -> tuple[Column, Column, Column, Column]:
+    return F.col("k"), F.col("v"), F.col("user_id"), F.col("event_id")
+
+
+def _digits(value: Column, count: int) -> Column:
+    return F.lpad(F.lower(F.hex(value.cast("bigint"))), count, "0")
 
 
 def be16(value: Column) -> Column:
-    return F.format_string("%04x", value)
+    return _digits(value, 4)
 
 
 def le16(value: Column) -> Column:
-    return F.format_string("%02x%02x", value % 256, F.floor(value / 256))
+    return F.concat(byte(value % 256), byte(F.floor(value / 256)))
 
 
 def le32(value: Column) -> Column:
@@ -27,119 +33,129 @@ def le32(value: Column) -> Column:
 
 
 def byte(value: Column) -> Column:
-    return F.format_string("%02x", value)
+    return _digits(value, 2)
 
 
 def _words(count: Column) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: be16(V + i)), "")
+    first = F.col("v")
+    return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: be16(first + i)), "")
 
 
 def modbus_hex() -> Column:
-    code = pick([1, 2, 3, 4, 5, 6, 8, 15, 16, 43], K % 10)
-    words = (EVENT % 3 + 1).cast("int")
-    address, quantity = be16(K * 10), be16(V % 125 + 1)
+    k, v, user, event = _columns()
+    code = pick([1, 2, 3, 4, 5, 6, 8, 15, 16, 43], k % 10)
+    words = (event % 3 + 1).cast("int")
+    address, quantity = be16(k * 10), be16(v % 125 + 1)
     body = (
-        F.when(code.isin(1, 2) | (code.isin(3, 4) & (USER % 2 == 0)), F.concat(address, quantity))
+        F.when(code.isin(1, 2) | (code.isin(3, 4) & (user % 2 == 0)), F.concat(address, quantity))
         .when(
             code.isin(3, 4),
-            F.concat(byte(words * 2), _words(words), F.when(K % 3 == 0, "7f").otherwise("")),
+            F.concat(byte(words * 2), _words(words), F.when(k % 3 == 0, "7f").otherwise("")),
         )
-        .when(code.isin(5, 6), F.concat(address, be16(V)))
+        .when(code.isin(5, 6), F.concat(address, be16(v)))
         .when(code.isin(15, 16), F.concat(address, quantity, byte(words * 2), _words(words)))
-        .otherwise(be16(V))
+        .otherwise(be16(v))
     )
     error = F.col("event_type") == "error"
     return F.concat(
-        be16(EVENT % 65536), F.lit("00000006"), byte(USER % 5 + 1),
-        F.when(error, F.concat(byte(code + 128), byte(K % 4 + 1))).otherwise(
+        be16(event % 65536), F.lit("00000006"), byte(user % 5 + 1),
+        F.when(error, F.concat(byte(code + 128), byte(k % 4 + 1))).otherwise(
             F.concat(byte(code), body)
         ),
     )
 
 
 def dnp3_hex() -> Column:
-    master = USER % 2 == 0
-    code = pick([3, 4, 0, 9, 4, 3, 11, 2], K % 8)
+    k, v, user, event = _columns()
+    master = user % 2 == 0
+    code = pick([3, 4, 0, 9, 4, 3, 11, 2], k % 8)
     control = (
-        F.when(master, 128).otherwise(0) + F.when(K % 2 == 1, 32).otherwise(0)
-        + F.when(K % 5 == 0, 16).otherwise(0) + code
+        F.when(master, 128).otherwise(0) + F.when(k % 2 == 1, 32).otherwise(0)
+        + F.when(k % 5 == 0, 16).otherwise(0) + code
     )
     data = (
-        F.when(EVENT % 4 == 0, F.concat(F.lit("0002"), byte(V % 6), F.lit("aabb")))
-        .when(EVENT % 4 == 1, "06")
-        .when(EVENT % 4 == 2, F.concat(F.lit("07"), byte(V % 256), F.lit("cc")))
+        F.when(event % 4 == 0, F.concat(F.lit("0002"), byte(v % 6), F.lit("aabb")))
+        .when(event % 4 == 1, "06")
+        .when(event % 4 == 2, F.concat(F.lit("07"), byte(v % 256), F.lit("cc")))
         .otherwise("28")
     )
-    objects = F.when(V % 5 == 1, "").otherwise(
+    objects = F.when(v % 5 == 1, "").otherwise(
         F.concat(
-            byte(pick([1, 30, 60, 99], K % 4)), byte(V % 4),
-            F.when(V % 5 == 2, F.concat(F.lit("06"), F.repeat(F.lit("5a"), 120))).otherwise(data),
+            byte(pick([1, 30, 60, 99], k % 4)), byte(v % 4),
+            F.when(v % 5 == 2, F.concat(F.lit("06"), F.repeat(F.lit("5a"), 120))).otherwise(data),
         )
     )
     application = F.concat(
-        byte(F.lit(192) + EVENT % 16),
-        byte(pick([1, 2, 129, 130, 4, 60], V % 6)),
-        F.when(master, "").otherwise(le16(EVENT % 65536)),
+        byte(F.lit(192) + event % 16),
+        byte(pick([1, 2, 129, 130, 4, 60], v % 6)),
+        F.when(master, "").otherwise(le16(event % 65536)),
         objects,
     )
-    user_data = F.when(V % 5 == 0, "c0c1").otherwise(F.concat(byte(F.lit(192) + EVENT % 64), application))
+    user_data = F.when(v % 5 == 0, "c0c1").otherwise(F.concat(byte(F.lit(192) + event % 64), application))
     return F.concat(
-        F.lit("640505"), byte(control), le16(K), le16(USER), F.lit("ffff"),
-        F.when(code.isin(3, 4), user_data).when(K % 2 == 0, "dead").otherwise(""),
+        F.lit("640505"), byte(control), le16(k), le16(user), F.lit("ffff"),
+        F.when(code.isin(3, 4), user_data).when(k % 2 == 0, "dead").otherwise(""),
     )
 
 
 def opcua_hex() -> Column:
-    kind = K % 7
+    k, v, user, event = _columns()
+    kind = k % 7
     tag = pick(["48454c", "41434b", "4f504e", "4d5347", "434c4f", "455252", "58595a"], kind)
-    url = F.concat(F.lit("opc.tcp://h"), USER.cast("string"))
-    declared = F.length(url) + F.when(USER % 3 == 1, 5).otherwise(0)
-    limits = F.concat(le32(F.lit(0)), le32(F.lit(65536)), le32(F.lit(65535)), le32(V), le32(K))
-    tail = F.when(USER % 3 == 0, "").otherwise(
+    url = F.concat(F.lit("opc.tcp://h"), user.cast("string"))
+    declared = F.length(url) + F.when(user % 3 == 1, 5).otherwise(0)
+    limits = F.concat(le32(F.lit(0)), le32(F.lit(65536)), le32(F.lit(65535)), le32(v), le32(k))
+    tail = F.when(user % 3 == 0, "").otherwise(
         F.concat(le32(declared), F.lower(F.hex(url.cast("binary"))))
     )
-    channel = F.when(V % 7 == 0, "abcd").otherwise(
-        F.concat(le32(USER), F.when(V % 2 == 0, "abcd").otherwise(""))
+    channel = F.when(v % 7 == 0, "abcd").otherwise(
+        F.concat(le32(user), F.when(v % 2 == 0, "abcd").otherwise(""))
     )
-    message = F.when(V % 7 == 0, F.concat(le32(USER), le32(K))).otherwise(
-        F.concat(le32(USER), le32(K), le32(EVENT), le32(V), F.when(V % 2 == 0, "aabbccdd").otherwise("aa"))
+    message = F.when(v % 7 == 0, F.concat(le32(user), le32(k))).otherwise(
+        F.concat(le32(user), le32(k), le32(event), le32(v), F.when(v % 2 == 0, "aabbccdd").otherwise("aa"))
     )
     body = (
         F.when(kind == 0, F.concat(limits, tail))
-        .when(kind == 1, F.when(V % 4 == 0, F.concat(le32(F.lit(0)), le32(K))).otherwise(limits))
+        .when(kind == 1, F.when(v % 4 == 0, F.concat(le32(F.lit(0)), le32(k))).otherwise(limits))
         .when((kind == 2) | (kind == 4), channel)
         .when(kind == 3, message)
-        .otherwise(le32(K))
+        .otherwise(le32(k))
     )
-    return F.concat(tag, F.when(USER % 2 == 0, "46").otherwise("43"), le32(V + 8), body)
+    return F.concat(tag, F.when(user % 2 == 0, "46").otherwise("43"), le32(v + 8), body)
 
 
 def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets with a few unknown ports, foreign transports, broken and empty payloads."""
-    protocol = pick(["modbus", "dnp3", "opcua"], EVENT % 3)
-    server = F.when(EVENT % 50 == 7, 8080).otherwise(pick([502, 20000, 4840], EVENT % 3))
-    client = (USER + 49152).cast("int")
+    k, _, user, event = _columns()
+    protocol = pick(["modbus", "dnp3", "opcua"], event % 3)
+    server = F.when(event % 50 == 7, 8080).otherwise(pick([502, 20000, 4840], event % 3))
+    client = (user + 49152).cast("int")
     to_server = F.col("event_type").isin("click", "view")
     built = (
         F.when(protocol == "modbus", modbus_hex()).when(protocol == "dnp3", dnp3_hex())
         .otherwise(opcua_hex())
     )
     text = (
-        F.when(EVENT % 89 == 0, "")
-        .when(EVENT % 101 == 3, F.concat(built, F.lit("zz")))
-        .when(EVENT % 103 == 5, F.substring(built, 1, 6))
+        F.when(event % 89 == 0, "")
+        .when(event % 101 == 3, F.concat(built, F.lit("zz")))
+        .when(event % 103 == 5, F.substring(built, 1, 6))
         .otherwise(built)
     )
-    return events(spark, sf_dir).select(
+    # exploding a one-element array computes the text once instead of at every use of it
+    rows = events(spark, sf_dir).select(
+        "*", F.explode(F.array(text)).alias("text"), protocol.alias("family")
+    )
+    text = F.col("text")
+    return rows.select(
         F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
-        F.concat(F.lit("10.0.0."), USER % 4).alias("src_ip"),
-        F.concat(F.lit("10.0.1."), USER % 3).alias("dst_ip"),
+        F.concat(F.lit("10.0.0."), user % 4).alias("src_ip"),
+        F.concat(F.lit("10.0.1."), user % 3).alias("dst_ip"),
         F.when(to_server, client).otherwise(server).alias("src_port"),
         F.when(to_server, server).otherwise(client).alias("dst_port"),
-        F.when(EVENT % 97 == 0, "icmp").when(K % 10 == 9, "udp").otherwise("tcp").alias("protocol"),
+        F.when(event % 97 == 0, "icmp").when(k % 10 == 9, "udp").otherwise("tcp").alias("protocol"),
         F.floor(F.length(text) / 2).alias("payload_size"),
         text.alias("payload_hex"),
-        EVENT.alias("msg_id"),
+        event.alias("msg_id"),
         "user_id", "k", "v", "event_type",
     )
 
@@ -372,7 +388,7 @@ WITH {PACKETS_SQL}
 SELECT msg_id,
        CASE WHEN event_id % 11 = 0 THEN 'bad_src_ip' ELSE '' END AS violations,
        array_to_string([x for x in [
-         CASE WHEN family = 'modbus' AND k % 20 = 0 THEN 'function_code' END,
+         CASE WHEN family IN ('modbus', 'dnp3') AND k % 20 = 0 THEN 'function_code' END,
          CASE WHEN abs(ts_us // 1000000 - 1705276800) > 86400 THEN 'clock_skew' END]
          if x IS NOT NULL], ',') AS warnings
 FROM packets""")
