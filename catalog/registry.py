@@ -12,7 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("packets", "features", "alerting")
+MODULES = (
+    "packets", "windows", "features", "vectors", "classify", "alerting", "reports", "exports",
+)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
