@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 MODULES = (
-    "packets", "windows", "features", "vectors", "classify", "alerting", "reports", "exports",
+    "packets", "windows", "features", "vectors", "classify", "alerting", "reports", "exports", "models",
 )
 
 

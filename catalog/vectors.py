@@ -236,7 +236,7 @@ def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH rows AS (
-  SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE epoch(ts)::BIGINT - (event_id % 13) * 60 END AS t,
+  SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE epoch_us(ts) // 1000000 - (event_id % 13) * 60 END AS t,
          user_id % 7 AS src, CASE WHEN event_id % 40 = 0 THEN NULL ELSE value END AS reading,
          event_type = 'error' AS bad FROM events),
 stepped AS (
