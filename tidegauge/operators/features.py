@@ -330,6 +330,8 @@ def value_histogram(windowed: DataFrame, sets: dict[str, FeatureSet] | None = No
     family = feature_family(F.col("protocol"))
     entries = None
     for name, feature_set in sets.items():
+        if not feature_set.values:
+            continue
         own = F.concat(*[_tagged(kind, array) for kind, array in feature_set.values.items()])
         entries = F.when(family == name, own) if entries is None else entries.when(family == name, own)
     return (
