@@ -240,9 +240,9 @@ WITH RECURSIVE {CORRELATED_SQL},
 released AS (SELECT dedup_key, detected_s AS released_s FROM correlated WHERE severity = 'critical'),
 ends AS (
   SELECT DISTINCT c.dedup_key, c.detected_s,
-         least(c.detected_s + {TTL_S}, coalesce(greatest(c.detected_s + 1,
-           (SELECT min(released_s) FROM released r
-            WHERE r.dedup_key = c.dedup_key AND r.released_s >= c.detected_s)),
+         least(c.detected_s + {TTL_S}, coalesce(
+           (SELECT CASE WHEN count(*) > 0 THEN greatest(c.detected_s + 1, min(released_s)) END
+            FROM released r WHERE r.dedup_key = c.dedup_key AND r.released_s >= c.detected_s),
            c.detected_s + {TTL_S})) AS lock_end
   FROM correlated c),
 passed(dedup_key, hit_s, lock_end) AS (

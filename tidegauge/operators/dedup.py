@@ -78,7 +78,7 @@ def _with_lock_end(
         return seconds.withColumn("lock_end", end)
     listed = releases.groupBy(key).agg(F.collect_list("released_s").alias("released"))
     next_release = F.array_min(F.filter("released", lambda r: r >= F.col(time)))
-    freed = F.greatest(next_release, F.col(time) + 1)
+    freed = F.when(next_release.isNotNull(), F.greatest(next_release, F.col(time) + 1))
     return (
         seconds.join(listed, key, "left")
         .withColumn("lock_end", F.least(end, freed))

@@ -178,7 +178,8 @@ def message_records(envelope: DataFrame) -> DataFrame:
     """Decoded rows in the JSON form of the message topics: one `message` body per row."""
     body = F.coalesce(*[F.to_json(name) for name in ("modbus", "dnp3", "opcua")])
     union = F.from_json(body, schemas.MESSAGE_BODY)
-    return envelope.drop("modbus", "dnp3", "opcua").withColumn("message", union)
+    kept = [c for c in envelope.columns if c not in ("modbus", "dnp3", "opcua")]
+    return envelope.select(*kept, union.alias("message"))
 
 
 def write_keyed(df: DataFrame, target: Source, topic: Column, key_columns: Sequence[str] = FLOW) -> None:

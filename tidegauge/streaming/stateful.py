@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tidegauge.operators import correlate as co
 from tidegauge.operators.dedup import TTL_S
@@ -99,7 +99,10 @@ class _LastVectors(StatefulProcessor):
 def stream_sequences(vectors: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
     """Left-padded sequences of a stream, as `rolling_sequences` does for a table."""
     chosen = vectors.select(*SERIES, "window_start", "scaled")
-    schema = StructType(list(chosen.schema.fields)).add("sequence", "array<array<double>>")
+    schema = StructType([
+        *chosen.schema.fields,
+        StructField("sequence", ArrayType(ArrayType(DoubleType()))),
+    ])
     return chosen.groupBy(*SERIES).transformWithStateInPandas(
         _LastVectors(length), schema, "append", "None"
     )
