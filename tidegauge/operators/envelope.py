@@ -145,7 +145,10 @@ def unnest_message(df: DataFrame, arrival: str = "ingest_ts") -> DataFrame:
         "exception_code": field("exception_code"),
         "values": F.when(has_body, F.col("message.values")),
         # an application code of 0 falls through to the link code
-        "dnp3_code": F.coalesce(F.nullif(application["function_code"], F.lit(0)), field("function_code")),
+        "dnp3_code": F.when(
+            F.lower("protocol") == "dnp3",
+            F.coalesce(F.nullif(application["function_code"], F.lit(0)), field("function_code")),
+        ),
         "dnp3_source": field("source"),
         "dnp3_destination": field("destination"),
         "is_master": field("is_master"),

@@ -193,7 +193,7 @@ def stream_alerting(
         .select(*ALERT_COLUMNS)
     )
     schema = StructType(list(alerts.schema.fields))
-    for name, kind in (("incident_id", "string"), ("incident_seq", "bigint"), ("suppressed", "boolean"),
+    for name, kind in (("incident_id", "string"), ("incident_seq", "long"), ("suppressed", "boolean"),
                        ("old_priority", "string"), ("priority", "string")):
         schema = schema.add(name, kind)
     return alerts.groupBy("correlation_key").transformWithStateInPandas(
