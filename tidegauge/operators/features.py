@@ -35,7 +35,8 @@ class FeatureSet:
     """What one protocol adds to the common features.
 
     measures: aggregate columns over the messages of a window
-    values:   arrays of values (as text) whose distribution is counted
+    values:   text columns whose distribution is counted
+    lists:    the same for columns that hold several values per message (arrays of text)
     entropies: the value kinds whose counts are needed one by one; each has a small fixed
                domain (one byte, or a handful of names), so the counts of a window are few
     modes:    the value kinds whose most common value is needed
@@ -44,10 +45,14 @@ class FeatureSet:
 
     measures: dict[str, Column] = field(default_factory=dict)
     values: dict[str, Column] = field(default_factory=dict)
+    lists: dict[str, Column] = field(default_factory=dict)
     entropies: tuple[str, ...] = ()
     modes: tuple[str, ...] = ()
     outputs: dict[str, Column] = field(default_factory=dict)
 
+    def kinds(self) -> list[str]:
+        return [*self.values, *self.lists]
+
 
 _REGISTRY: dict[str, Callable[[], FeatureSet]] = {}
 
@@ -71,12 +76,12 @@ def _count_of(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def _one(column: str) -> Column:
-    return F.array(F.col(column).cast("string"))
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
 
 
 def _nonzero(column: str) -> Column:
-    return F.array(F.when(F.col(column) != 0, F.col(column).cast("string")))
+    return F.when(F.col(column) != 0, _text(column))
 
 
 def distinct(kind: str) -> Column:
@@ -139,10 +144,10 @@ def _modbus() -> FeatureSet:
     return FeatureSet(
         measures=measures,
         values={
-            "mb_fc": _one("function_code"),
-            "mb_unit": _one("unit_id"),
-            "mb_addr": _one("start_address"),
-            "mb_exc": F.array(F.when(exception, F.col("exception_code").cast("string"))),
+            "mb_fc": _text("function_code"),
+            "mb_unit": _text("unit_id"),
+            "mb_addr": _text("start_address"),
+            "mb_exc": F.when(exception, _text("exception_code")),
         },
         entropies=("mb_fc", "mb_unit"),
         modes=("mb_fc",),
@@ -200,12 +205,12 @@ def _dnp3() -> FeatureSet:
     return FeatureSet(
         measures=measures,
         values={
-            "dn_fc": _one("dnp3_code"),
-            "dn_src": _one("dnp3_source"),
-            "dn_dst": _one("dnp3_destination"),
-            "dn_pair": F.array(pair),
-            "dn_group": F.transform(groups, lambda g: g.cast("string")),
+            "dn_fc": _text("dnp3_code"),
+            "dn_src": _text("dnp3_source"),
+            "dn_dst": _text("dnp3_destination"),
+            "dn_pair": pair,
         },
+        lists={"dn_group": groups.cast("array<string>")},
         entropies=("dn_fc",),
         outputs=outputs,
     )
@@ -251,11 +256,11 @@ def _opcua() -> FeatureSet:
     return FeatureSet(
         measures=measures,
         values={
-            "ua_type": F.array(kind),
+            "ua_type": kind,
             "ua_channel": _nonzero("secure_channel_id"),
             "ua_token": _nonzero("security_token_id"),
-            "ua_service": F.array(service),
-            "ua_seq": F.array(sequence.cast("string")),
+            "ua_service": service,
+            "ua_seq": sequence.cast("string"),
         },
         entropies=("ua_type",),
         outputs=outputs,
@@ -316,8 +321,13 @@ def timing_features(
     )
 
 
-def _tagged(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+def _entries(feature_set: FeatureSet) -> Column:
+    """All values of a message as (kind, value) pairs."""
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    parts = [F.array(*[pair(kind, value) for kind, value in feature_set.values.items()])]
+    for name, listed in feature_set.lists.items():
+        parts.append(F.transform(listed, lambda v: pair(name, v)))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def value_histogram(windowed: DataFrame, sets: dict[str, FeatureSet] | None = None) -> DataFrame:
@@ -332,7 +342,7 @@ def value_histogram(windowed: DataFrame, sets: dict[str, FeatureSet] | None = No
     for name, feature_set in sets.items():
         if not feature_set.values:
             continue
-        own = F.concat(*[_tagged(kind, array) for kind, array in feature_set.values.items()])
+        own = _entries(feature_set)
         entries = F.when(family == name, own) if entries is None else entries.when(family == name, own)
     return (
         windowed.select(*WINDOW, "ts_us", "msg_id", F.explode(entries).alias("entry"))
@@ -353,7 +363,7 @@ def histogram_features(
     sets = registered() if sets is None else sets
     columns: list[Column] = []
     for feature_set in sets.values():
-        for kind in feature_set.values:
+        for kind in feature_set.kinds():
             here = F.col("kind") == kind
             columns.append(F.count_if(here).alias(f"{kind}__distinct"))
             columns.append(F.sum(F.when(here, F.col("count"))).alias(f"{kind}__total"))

@@ -21,6 +21,8 @@ def build_session(app: str = "tidegauge", master: str | None = None, **conf: str
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE,
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+        # methods above this size are never compiled by the JVM; smaller ones are generated then
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update(conf)
     for key, value in settings.items():
