@@ -84,17 +84,27 @@ def _nonzero(column: str) -> Column:
     return F.when(F.col(column) != 0, _text(column))
 
 
+def _of(kind: str) -> Column:
+    """What the histogram of the window says about one kind; NULL without values of it."""
+    return F.try_element_at(F.col("kinds"), F.lit(kind))
+
+
 def distinct(kind: str) -> Column:
-    return or_zero(F.col(f"{kind}__distinct")).cast("bigint")
+    return or_zero(_of(kind)["distinct"]).cast("bigint")
 
 
 def total(kind: str) -> Column:
-    return or_zero(F.col(f"{kind}__total")).cast("bigint")
+    return or_zero(_of(kind)["total"]).cast("bigint")
 
 
 def entropy(kind: str) -> Column:
     empty = F.array().cast("array<bigint>")
-    return entropy_of_counts(F.coalesce(F.col(f"{kind}__counts"), empty), total(kind))
+    return entropy_of_counts(F.coalesce(_of(kind)["counts"], empty), total(kind))
+
+
+def most_common(kind: str) -> Column:
+    """Struct of the most common value and its count; ties go to the value seen first."""
+    return _of(kind)["mode"]
 
 
 def _modbus() -> FeatureSet:
@@ -122,8 +132,8 @@ def _modbus() -> FeatureSet:
         "fc_write_ratio": ratio(F.col("mb_writes"), F.col("mb_codes")),
         "fc_diagnostic_ratio": ratio(F.col("mb_diagnostics"), F.col("mb_codes")),
         "fc_entropy": entropy("mb_fc"),
-        "fc_most_common": or_zero(F.col("mb_fc__mode.value").cast("bigint")),
-        "fc_most_common_ratio": ratio(or_zero(F.col("mb_fc__mode.count")), F.col("mb_codes")),
+        "fc_most_common": or_zero(most_common("mb_fc")["value"].cast("bigint")),
+        "fc_most_common_ratio": ratio(or_zero(most_common("mb_fc")["count"]), F.col("mb_codes")),
         "unit_id_unique_count": distinct("mb_unit"),
         "unit_id_entropy": entropy("mb_unit"),
         "addr_unique_count": distinct("mb_addr"),
@@ -359,26 +369,23 @@ def value_histogram(windowed: DataFrame, sets: dict[str, FeatureSet] | None = No
 def histogram_features(
     histogram: DataFrame, sets: dict[str, FeatureSet] | None = None
 ) -> DataFrame:
-    """Distinct count, total, counts and most common value per window, a column set per kind."""
+    """`kinds`: per window a map from kind to distinct count, total, counts and most common value.
+
+    A window has a handful of kinds, so the map is small; both steps combine before they shuffle.
+    """
     sets = registered() if sets is None else sets
-    columns: list[Column] = []
-    for feature_set in sets.values():
-        for kind in feature_set.kinds():
-            here = F.col("kind") == kind
-            columns.append(F.count_if(here).alias(f"{kind}__distinct"))
-            columns.append(F.sum(F.when(here, F.col("count"))).alias(f"{kind}__total"))
-            if kind in feature_set.entropies:
-                columns.append(
-                    F.collect_list(F.when(here, F.col("count"))).alias(f"{kind}__counts")
-                )
-            if kind in feature_set.modes:
-                # ties go to the value seen first
-                best = F.max_by(
-                    F.struct("value", "count"),
-                    F.when(here, F.struct(F.col("count"), (-F.col("first_seen")).alias("seen"))),
-                )
-                columns.append(best.alias(f"{kind}__mode"))
-    return histogram.groupBy(*WINDOW).agg(*columns)
+    entropies = [k for s in sets.values() for k in s.entropies]
+    modes = [k for s in sets.values() for k in s.modes]
+    kind = F.col("kind")
+    seen_first = F.struct(F.col("count"), (-F.col("first_seen")).alias("seen"))
+    per_kind = histogram.groupBy(*WINDOW, "kind").agg(
+        F.count(F.lit(1)).alias("distinct"),
+        F.sum("count").alias("total"),
+        F.collect_list(F.when(kind.isin(entropies), F.col("count"))).alias("counts"),
+        F.max_by(F.struct("value", "count"), F.when(kind.isin(modes), seen_first)).alias("mode"),
+    )
+    entry = F.struct("kind", F.struct("distinct", "total", "counts", "mode").alias("stats"))
+    return per_kind.groupBy(*WINDOW).agg(F.map_from_entries(F.collect_list(entry)).alias("kinds"))
 
 
 def extract_features(

@@ -19,6 +19,8 @@ def build_session(app: str = "tidegauge", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call sites of every column call cost more than planning the query
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_STATE,
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         # methods above this size are never compiled by the JVM; smaller ones are generated then
