@@ -13,6 +13,11 @@ from tidegauge.functions.text import lookup
 # fixed values: score thresholds of the four classes
 SUSPICIOUS, ANOMALY, CRITICAL = 0.4, 0.7, 0.9
 TINY = 1e-10
+# what the type heuristics look at; a NULL takes the default of the heuristic
+TYPE_FEATURES = (
+    "iat_mean", "iat_std", "iat_min", "iat_max", "message_count", "bytes_total", "bytes_mean",
+    "bytes_std",
+)
 
 
 def classify(

@@ -103,7 +103,9 @@ def score_features(rows: DataFrame, artifacts: Artifacts) -> DataFrame:
 
     The anomaly is detected, in event time, when its window ends.
     """
-    scored = model_columns(rows, artifacts)
+    expected = [*cl.TYPE_FEATURES, *artifacts.scaler.names]
+    absent = {n: F.lit(None).cast("double") for n in expected if n not in rows.columns}
+    scored = model_columns(rows.withColumns(absent) if absent else rows, artifacts)
     scores = {m: F.col(m) for m in MODELS}
     scored = scored.withColumns({
         "ensemble_score": ensemble_score(scores),
