@@ -164,6 +164,13 @@ def test_whole_alerting_against_a_plain_loop(spark):
     assert events.count() == changes
 
 
+def test_a_store_changes_nothing(spark, folder):
+    frame = simple(spark, [0, 10, 60, 61, 130, 900])
+    direct, stored = jobs.alerting(frame), jobs.alerting(frame, store=folder)
+    for one, two in zip(direct, stored):
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.select(*one.columns).collect()))
+
+
 def test_a_suppressed_critical_alert_does_not_escalate(spark):
     rows = [(0, 0.8, "reconnaissance", "s", "d"), (5, 0.95, "reconnaissance", "s", "d")]
     alerts, incidents, events = jobs.alerting(anomalies(spark, rows))

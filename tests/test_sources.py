@@ -28,12 +28,16 @@ def packet(**changes):
     return json.dumps({**base, **changes})
 
 
+def messages_input(good):
+    return [c for c in good.columns if c not in ("topic", "partition", "offset")]
+
+
 def test_packets_to_keyed_messages_and_back(spark, folder):
     path = write(folder, "packets.json", [packet(), "{broken", packet(payload_hex="zz"), packet(src_ip=None)])
     good, bad = topics.quarantine(topics.read_packets(spark, path))
     assert good.count() == 2
     assert sorted(r.reject_reason for r in bad.collect()) == ["bad_json", "missing_src_ip"]
-    messages, dropped = jobs.packets_to_messages(good.select(*[c for c in good.columns if c not in ("topic", "partition", "offset")]))
+    messages, dropped = jobs.packets_to_messages(good.select(*messages_input(good)))
     assert [r.reject_reason for r in dropped.collect()] == ["bad_hex"]
     topics.write_keyed(topics.message_records(messages), folder + "/out", topics.message_topic())
     row = spark.read.json(folder + "/out").first()
@@ -44,6 +48,8 @@ def test_packets_to_keyed_messages_and_back(spark, folder):
     direct = envelope.flatten_envelope(messages)
     assert flat.first().asDict() == direct.first().asDict()
     assert features.extract_features(flat).count() == 3
+    stored = jobs.packets_to_features(good.select(*messages_input(good)), store=folder + "/store")
+    assert stored.count() == 3
 
 
 def test_features_and_aliases(spark, folder):

@@ -1,5 +1,5 @@
 """Spark-native analytics for industrial network telemetry."""
 
-from tidegauge.session import build_session, use_utc
+from tidegauge.session import build_session, materialise, shared_dir, use_utc
 
-__all__ = ["build_session", "use_utc"]
+__all__ = ["build_session", "materialise", "shared_dir", "use_utc"]

@@ -189,6 +189,7 @@ def incident_rollup(correlated: DataFrame, list_alerts: bool = False) -> DataFra
     )
 
 
+# the wording of titles and descriptions below is a fixed format
 def incident_title() -> Column:
     kinds = F.size("anomaly_types")
     return (

@@ -17,6 +17,7 @@ from tidegauge.operators.models.ensemble import WEIGHTS, confidence, ensemble_sc
 from tidegauge.operators.models.forest import Forest, fit_forest
 from tidegauge.operators.models.recon import Reconstruction, fit_reconstruction
 from tidegauge.operators.windows import DEFAULT_SIZES, FLOW, WINDOW
+from tidegauge.session import materialise
 
 MODELS = tuple(WEIGHTS)
 
@@ -28,12 +29,20 @@ def packets_to_messages(raw: DataFrame, compat_zero_bytes: bool = False) -> tupl
 
 
 def packets_to_features(
-    raw: DataFrame, sizes: Sequence[int] = DEFAULT_SIZES, slice_seconds: int | None = None
+    raw: DataFrame, sizes: Sequence[int] = DEFAULT_SIZES, slice_seconds: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
-    """Packets to window vectors. At scale write the messages as a table in between: the
-    three aggregates of `extract_features` then read decoded columns instead of decoding again."""
+    """Packets to window vectors.
+
+    With `store`, a folder all executors reach (`shared_dir` names the cluster's), the decoded
+    messages are written there once; the three aggregates of `extract_features` then read only
+    their columns instead of decoding again.
+    """
     messages, _ = packets_to_messages(raw)
-    return features.extract_features(envelope.flatten_envelope(messages), sizes, slice_seconds)
+    flat = envelope.flatten_envelope(messages)
+    if store:
+        flat = materialise(flat, store, "messages")
+    return features.extract_features(flat, sizes, slice_seconds)
 
 
 @dataclass(frozen=True)
@@ -127,10 +136,16 @@ def score_features(rows: DataFrame, artifacts: Artifacts) -> DataFrame:
 def alerting(
     anomalies: DataFrame, gap_s: int = co.GAP_S, ttl_s: int = dedup.TTL_S,
     rules: escalate.Escalation = escalate.Escalation(), key_columns: Sequence[str] = FLOW,
+    store: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Anomalies to alerts (with `suppressed` and `priority`), incidents and escalations."""
+    """Anomalies to alerts (with `suppressed` and `priority`), incidents and escalations.
+
+    With `store` the handled alerts are written once and all three results read them.
+    """
     found = co.to_alerts(co.correlate(co.drop_normal(anomalies), gap_s, key_columns))
     handled = dedup.suppress_duplicates(found, ttl_s)
+    if store:
+        handled = materialise(handled, store, "handled")
     if "dst_ip" in key_columns:  # one target per incident: the rule cannot fire
         rules = escalate.Escalation(rules.p3, rules.p2, rules.p1, rules.critical_severity, False)
     incidents = co.incident_rollup(handled)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -45,3 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The frame as a table in a shared folder: computed once, read by everything after it."""
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,6 +24,9 @@ PRIORITY_COLOR = {"P4": "#36a64f", "P3": "#f2c744", "P2": "#ff9900", "P1": "#ff0
 OTHER_COLOR = "#808080"
 
 
+# the field names, labels and layout of the lines and bodies below are fixed formats
+
+
 @dataclass(frozen=True)
 class Sender:
     """How the sender names itself to the receiver."""
