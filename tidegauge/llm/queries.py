@@ -9,7 +9,8 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, exact_dedup, packing, secrets, token_counts, warc
+from tidegauge.llm import decontaminate, exact_dedup, licenses, packing, secrets, token_counts, toxicity, warc
+from tidegauge.llm.common import in_hash_share
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +72,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = in_hash_share(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.toxicity(spark, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query()
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan_licences(docs, licenses.train(docs))
+
+
 @query(r"""
 WITH folded AS (
   SELECT doc_id AS id, 'd' AS side, coalesce(text, '') AS t FROM documents
