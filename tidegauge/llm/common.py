@@ -49,9 +49,9 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """The frame written once and read again: lineage ends here, so lost executors cost no earlier work."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
