@@ -31,6 +31,11 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 KNOWN_PIECES = 400_000  # ids remembered by a worker
 _ENCODERS: dict[str, Encoder] = {}
 
+# The letters byte-level vocabularies are written in: visible Latin-1 bytes stand for themselves, the others, in
+# order, for the letters from 256 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(_HIDDEN)}
+
 
 class Encoder:
     """Ids of whole texts as little-endian bytes, by the tokenizer's own pre-tokens; those seen before are looked up."""
@@ -41,22 +46,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(pattern).findall
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-token: the model alone merges its bytes."""
+        letters = piece.encode("utf-8", "replace").decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array([t.id for t in self.merge(letters)], dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids of `text`, exactly as the tokenizer gives them for the whole text."""
         if any(s in text for s in self.special):
-            return self._ids(text)  # a special token's text is cut out before the pattern is applied
+            return self._whole(text)  # a special token's text is cut out before the pattern is applied
         found = self.pieces(text)
         known = self.known
         new = set(found).difference(known)
         if len(known) + len(new) > KNOWN_PIECES:
             known.clear()
             new = set(found)
-        known.update((p, self._ids(p)) for p in new)
+        known.update((p, self._piece(p)) for p in new)
         return b"".join(map(known.__getitem__, found))
 
 
