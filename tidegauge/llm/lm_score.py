@@ -305,11 +305,11 @@ def score_texts(
     without an id are texts of their own. Other columns are not read; an empty table gives no rows, and with nothing
     to learn from every token has probability 1 / (V + 1) = 1. `docs` is read twice and has to come in the same order,
     as stored tables do; a change is noticed and raises an error. `parts` is the number of pieces of the key
-    space, by default spark.sql.shuffle.partitions.
+    space, by default four times spark.sql.shuffle.partitions (several meet in a task, which evens them out).
     """
     spark = docs.sparkSession
     folder = run_folder(spark) + "/lm"
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         pick(doc_id).cast("long").alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("learn"),
         utf8(text).alias("data"),
