@@ -70,6 +70,15 @@ def test_links_that_asking_misses_are_found_at_the_end(docs_of, monkeypatch):
     assert found(minhash.near_groups(docs_of(rows))) == brute(rows)
 
 
+def test_parities_bound_the_difference():
+    rng = minhash.np.random.default_rng(1)
+    for size, changed in ((50, 5), (400, 60), (3000, 900)):
+        a = rng.integers(0, 1 << 63, size, dtype="uint64")
+        b = minhash.np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed // 2, dtype="uint64")])
+        apart = sum(bin(x).count("1") for x in (minhash.parity(a) ^ minhash.parity(b)).view("uint64").tolist())
+        assert 0 < apart <= changed + changed // 2
+
+
 def test_one_of_each_group_stays(docs_of):
     rows = corpus(5)
     docs = docs_of(rows)

@@ -8,14 +8,17 @@ Two texts of similarity s meet in a table with probability (1 - (1 - s**3)**12)*
 2. Halves of keys that no other representative has are dropped, the rest combine into the tables' keys.
 3. Links are confirmed in rounds. In each, a representative asks one member of the leading component of a bucket it is in,
    the one it meets in most buckets. Confirmed links join components, and buckets of one component are done with.
-4. What is still apart after the rounds is compared across components: all pairs of a bucket whose sizes and 256-bit
-   sketches allow the similarity, each once. So a large group of copies costs a few comparisons for each member, and
-   no link that the tables find between different components is left unconfirmed.
+4. What is still apart after the rounds is compared across components: the pairs of a bucket whose sizes and sketches allow
+   the similarity, each once. The parity sketch (bit h(x) flips for each shingle x) bounds the shingles that only one side
+   has from below, so it drops no link; the 256-bit MinHash sketch serves where sets are large. So a large group of copies
+   costs a few comparisons for each member, and no link that the tables find between components is left unconfirmed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,9 @@ ASKING_ROUNDS = 4
 SKETCH_BITS = 256
 # Of 256 bits a pair of similarity 0.85 differs in 19 on average; more than this happens once in 10**8 such pairs.
 SKETCH_APART = 46
+PARITY_BITS = 1024
+_SKETCHES = [f"s{n}" for n in range(SKETCH_BITS // 64)]
+_PARITIES = [f"o{n}" for n in range(PARITY_BITS // 64)]
 KNOWN_WORDS = 300_000
 _CHUNK = 2048
 
@@ -100,6 +106,12 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of PARITY_BITS places, as longs."""
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64)
@@ -129,15 +141,16 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in batches:
         sets = [shingles(data.as_py(), known) for data in batch.column(1)]
-        bits = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, 4)
+        names = [*_SKETCHES, *_PARITIES]
+        bits = np.array([np.concatenate([sketch(s), parity(s)]) for s in sets], dtype=np.int64).reshape(-1, len(names))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)]
-            + [pa.array(bits[:, n]) for n in range(4)],
-            names=["rep", "size", "set", "s0", "s1", "s2", "s3"],
+            + [pa.array(bits[:, n]) for n in range(len(names))],
+            names=["rep", "size", "set", *names],
         )
 
 
-_WHOLE_SETS = "rep long, size long, set array<long>, s0 long, s1 long, s2 long, s3 long"
+_WHOLE_SETS = ", ".join(["rep long, size long, set array<long>", *[f"{n} long" for n in [*_SKETCHES, *_PARITIES]]])
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -196,11 +209,13 @@ def _left_over(members: DataFrame, sets: DataFrame, tested: DataFrame, similar:
     rows = members.join(apart.select("key"), "key", "left_semi").join(sets.drop("set"), "rep")
     one = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in rows.columns if c != "key"])
     two = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "key"])
-    differ = sum((F.bit_count(F.col(f"s{n}_a").bitwiseXOR(F.col(f"s{n}_b"))) for n in range(1, 4)),
-                 F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    differ = lambda names: reduce(add, [F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names])
     fits = (
         (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b"))
-        & (whole * F.least("size_a", "size_b") >= part * F.greatest("size_a", "size_b")) & (differ <= SKETCH_APART)
+        & (whole * F.least("size_a", "size_b") >= part * F.greatest("size_a", "size_b"))
+        # of similar sets at most this share of all shingles stands on one side only
+        & ((whole + part) * differ(_PARITIES) <= (whole - part) * (F.col("size_a") + F.col("size_b")))
+        & (differ(_SKETCHES) <= SKETCH_APART)
     )
     pairs = one.join(two, (one["key"] == two["key"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")
