@@ -133,9 +133,11 @@ def fit(
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1.0) if len(toxic) else 1e-6
     if not 0 < toxic.sum() < len(toxic):
         return Model(float(np.log(rate / (1 - rate))))
-    every, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    is_toxic = np.repeat(toxic, [len(x) for x in lists])
-    counts, hits = np.bincount(inverse), np.bincount(inverse, is_toxic)
+    # without an inverse index, which would be several times the size of the sample
+    every, counts = np.unique(np.concatenate(lists), return_counts=True)
+    found, times = np.unique(np.concatenate([x for x, y in zip(lists, toxic) if y]), return_counts=True)
+    hits = np.zeros(len(every))
+    hits[np.searchsorted(every, found)] = times
     # log-likelihood ratio of a feature against the classes: how much it can tell
     share, base = np.clip(hits / counts, 1e-9, 1 - 1e-9), toxic.mean()
     told = hits * np.log(share / base) + (counts - hits) * np.log((1 - share) / (1 - base))
