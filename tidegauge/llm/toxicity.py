@@ -4,8 +4,9 @@ Features are the distinct words of a text and the first bytes of its longer word
 logistic loss plus, for sentences that name a group, the squared change of the score when the identity term is swapped
 for others of its kind; so no weight can rest on the mere mention of a group.
 
-The model is fitted on the driver on at most `sample` labelled texts, taken in the order of a hash of their ids; it
-holds at most FEATURES weights. Scoring is one pass over all documents.
+The model learns from at most `sample` labelled texts, taken in the order of a hash of their ids; it holds at most
+FEATURES weights. Spark extracts, counts and picks the features; the driver gets only the picked ones of each text, and
+the swapped pairs grouped by what they change. Scoring is one pass over all documents.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import free_name, pick, utf8
+from tidegauge.llm.common import free_name, pick, run_folder, stored, utf8
 
 SAMPLE = 20_000  # most labelled texts the fit sees
 FEATURES = 1 << 16  # most weights of a model
@@ -90,14 +91,40 @@ def _extracted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["features", "pairs"])
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many texts of a batch, and in how many toxic ones, each feature is."""
+    for batch in batches:
+        lists = [_ids(f) for f in batch["features"]]
+        every, at, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        toxic = np.repeat(batch["label"].to_numpy(dtype=float), [len(f) for f in lists])
+        hits = np.bincount(at, toxic, len(every)).astype(np.int64)
+        yield pd.DataFrame({"feature": every.astype(np.int64), "n": counts, "hits": hits})
+
+
+def _ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint32)
+
+
+def told(counts: np.ndarray, hits: np.ndarray, base: float) -> np.ndarray:
+    """Log-likelihood ratio of features against the classes: how much they can tell. `base` is the share of toxic texts."""
+    share = np.clip(hits / counts, 1e-9, 1 - 1e-9)
+    return hits * np.log(share / base) + (counts - hits) * np.log((1 - share) / (1 - base))
+
+
+def _places(found: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where features stand in the sorted array, and whether they do."""
+    at = np.minimum(np.searchsorted(kept, found), max(len(kept) - 1, 0))
+    return at, kept[at] == found if len(kept) else np.zeros(len(found), dtype=bool)
+
+
 class Rows:
     """Sparse 0/1 rows over the kept features."""
 
     def __init__(self, lists: list[np.ndarray], kept: np.ndarray):
         columns = []
         for found in lists:
-            at = np.minimum(np.searchsorted(kept, found), max(len(kept) - 1, 0))
-            columns.append(at[kept[at] == found] if len(kept) else at[:0])
+            at, there = _places(found, kept)
+            columns.append(at[there])
         self.size, self.width = len(lists), len(kept)
         self.columns = np.concatenate(columns) if columns else np.zeros(0, dtype=np.int64)
         self.row = np.repeat(np.arange(self.size), [len(c) for c in columns])
@@ -125,28 +152,42 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def constant(texts: int, toxic: float) -> Model:
+    """What there is to say without texts of both classes: the smoothed share of toxic ones."""
+    rate = (toxic + 0.5) / (texts + 1.0) if texts else 1e-6
+    return Model(float(np.log(rate / (1 - rate))))
+
+
 def fit(
-    lists: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]],
-    steps: int = STEPS, penalty: float = PENALTY, swap_penalty: float = SWAP_PENALTY,
+    lists: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], **options
 ) -> Model:
-    """Adam on the whole sample. Without texts of both classes the model is the smoothed share of toxic ones."""
-    rate = (toxic.sum() + 0.5) / (len(toxic) + 1.0) if len(toxic) else 1e-6
+    """A model of texts held in memory; `train` does the same on tables."""
     if not 0 < toxic.sum() < len(toxic):
-        return Model(float(np.log(rate / (1 - rate))))
-    # without an inverse index, which would be several times the size of the sample
+        return constant(len(toxic), float(toxic.sum()))
     every, counts = np.unique(np.concatenate(lists), return_counts=True)
     found, times = np.unique(np.concatenate([x for x, y in zip(lists, toxic) if y]), return_counts=True)
     hits = np.zeros(len(every))
     hits[np.searchsorted(every, found)] = times
-    # log-likelihood ratio of a feature against the classes: how much it can tell
-    share, base = np.clip(hits / counts, 1e-9, 1 - 1e-9), toxic.mean()
-    told = hits * np.log(share / base) + (counts - hits) * np.log((1 - share) / (1 - base))
+    tell = told(counts, hits, toxic.mean())
     usable = np.flatnonzero(counts >= LEAST_TEXTS)
-    # of so many features that tell nothing, hardly one reaches this by chance
-    usable = usable[told[usable] > np.log(max(len(usable), 1)) + CHANCE]
-    usable = usable[np.argsort(-told[usable], kind="stable")[:FEATURES]]
-    kept = every[np.sort(usable)]
-    x, left, right = Rows(lists, kept), Rows([a for a, _ in pairs], kept), Rows([b for _, b in pairs], kept)
+    usable = usable[tell[usable] > _least_told(len(usable))]
+    usable = usable[np.argsort(-tell[usable], kind="stable")[:FEATURES]]
+    return descend(every[np.sort(usable)], lists, toxic, [(a, b, 1) for a, b in pairs], **options)
+
+
+def _least_told(features: int) -> float:
+    """Of so many features that tell nothing, hardly one reaches this by chance."""
+    return float(np.log(max(features, 1)) + CHANCE)
+
+
+def descend(
+    kept: np.ndarray, lists: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, int]],
+    steps: int = STEPS, penalty: float = PENALTY, swap_penalty: float = SWAP_PENALTY,
+) -> Model:
+    """Adam on texts of both classes; `kept` are the features with weights, pairs come with how often they occur."""
+    base = toxic.mean()
+    x, left, right = Rows(lists, kept), Rows([a for a, _, _ in pairs], kept), Rows([b for _, b, _ in pairs], kept)
+    often = np.array([n for *_, n in pairs], dtype=float)
     weights, bias = np.zeros(len(kept)), float(np.log(base / (1 - base)))
     # toxic texts are few; the fourth root of the ratio lifts them a little, and scores stay near probabilities
     heavy = np.where(toxic > 0, ((1 - base) / base) ** 0.25, 1.0)
@@ -156,7 +197,7 @@ def fit(
         off = (_sigmoid(x.times(weights) + bias) - toxic) * heavy
         grad = x.back(off) + penalty * weights
         if pairs:
-            change = (left.times(weights) - right.times(weights)) / len(pairs)
+            change = (left.times(weights) - right.times(weights)) * often / often.sum()
             grad += 2 * swap_penalty * (left.back(change) - right.back(change))
         grad = np.append(grad, off.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
@@ -180,13 +221,58 @@ def train(
     # at most `sample` ids of eight bytes and a label: small enough for every task
     rows = docs.select(pick(doc_id).alias("doc_id"), utf8(text).alias("data")).join(F.broadcast(chosen), "doc_id")
     extract = F.pandas_udf(_extracted, "struct<features:binary,pairs:array<struct<a:binary,b:binary>>>")
-    found = rows.select("doc_id", "label", extract("data").alias("x")).select("doc_id", "label", "x.features", "x.pairs")
-    got = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["features"])))
-    ids = lambda b: np.frombuffer(b, dtype=np.uint32)
-    return fit(
-        [ids(r["features"]) for r in got], np.array([float(r["label"] > 0) for r in got]),
-        [(ids(p["a"]), ids(p["b"])) for r in got for p in r["pairs"]], **options,
+    folder = run_folder(docs.sparkSession) + "/toxicity"
+    found = stored(
+        rows.select("doc_id", (F.col("label") > 0).cast("int").alias("label"), extract("data").alias("x"))
+        .select("doc_id", "label", "x.features", "x.pairs"),
+        f"{folder}/found",
+    )
+    texts, toxic = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < texts:
+        return constant(texts, toxic)
+    kept = _picked(found, toxic / texts, f"{folder}/counts")
+    picked = _only(docs.sparkSession.sparkContext.broadcast(kept))
+    got = found.select("doc_id", "label", picked("features").alias("features")).collect()
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
+    # two terms change the same features in any sentence but for words that stand there too: few groups
+    pairs = (
+        found.select(F.explode("pairs").alias("p")).select(picked("p.a").alias("a"), picked("p.b").alias("b"))
+        .groupBy("a", "b").count().collect()
+    )
+    return descend(
+        kept, [_ids(r["features"]) for r in got], np.array([float(r["label"]) for r in got]),
+        sorted([(_ids(p["a"]), _ids(p["b"]), p["count"]) for p in pairs], key=lambda p: (p[0].tobytes(), p[1].tobytes())),
+        **options,
+    )
+
+
+def _picked(found: DataFrame, base: float, folder: str) -> np.ndarray:
+    """The features that get a weight: those that tell most, FEATURES at most."""
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tell = told(batch["n"].to_numpy(), batch["hits"].to_numpy(), base)
+            yield pd.DataFrame({"feature": batch["feature"], "tell": tell})
+
+    parts = found.select("label", "features").mapInPandas(_counted, "feature long, n long, hits long")
+    counts = stored(
+        parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).filter(F.col("n") >= LEAST_TEXTS),
+        folder,
     )
+    least = _least_told(counts.count())
+    strong = counts.mapInPandas(weigh, "feature long, tell double").filter(F.col("tell") > least)
+    best = strong.orderBy(F.desc("tell"), "feature").limit(FEATURES).collect()
+    return np.sort(np.array([r["feature"] for r in best], dtype=np.uint32))
+
+
+def _only(kept):
+    """Column function: of features held as bytes only those in the broadcast array."""
+
+    def only(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([f[_places(f, kept.value)[1]].tobytes() for f in map(_ids, batch)])
+
+    return F.pandas_udf(only, "binary")
 
 
 class _Active(dict):
