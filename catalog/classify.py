@@ -100,6 +100,33 @@ def rule_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(rows.select(*WINDOW, cl.rule_type().alias("rule_type")))
 
 
+@query(f"""
+WITH rows AS ({MODBUS_SQL}),
+typed AS (
+  SELECT CASE
+    WHEN fc_write_ratio > 0.5 THEN 'command_injection'
+    WHEN exception_ratio > 0.10 OR exception_count > 10 THEN 'protocol_violation'
+    WHEN addr_unique_count > 100 OR unit_id_unique_count > 10 THEN 'unauthorized_access'
+    WHEN fc_read_ratio > 0.95 AND qty_mean > 50 THEN 'data_exfiltration'
+    WHEN fc_unique_count > 10 OR addr_range > 1000 OR fc_diagnostic_ratio > 0.5 THEN 'reconnaissance'
+    WHEN bytes_max > 1024 THEN 'volume_anomaly'
+    WHEN iat_std > 1.0 OR iat_max > 10 THEN 'timing_anomaly' ELSE 'unknown' END AS kind
+  FROM rows)
+SELECT kind, CASE kind WHEN 'command_injection' THEN 'T0831 - Manipulation of Control'
+    WHEN 'protocol_violation' THEN 'T0855 - Unauthorized Command Message'
+    WHEN 'unauthorized_access' THEN 'T0821 - Modify Controller Tasking'
+    WHEN 'data_exfiltration' THEN 'T0882 - Theft of Operational Information'
+    WHEN 'reconnaissance' THEN 'T0846 - Remote System Discovery'
+    WHEN 'timing_anomaly' THEN 'T0882 - Theft of Operational Information' END AS technique, count(*) AS n
+FROM typed GROUP BY ALL""")
+def rule_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The technique of each type the rules find on Modbus windows, and how many windows have it."""
+    rows = feature_rows(spark, sf_dir).filter(F.col("protocol") == "modbus").select(cl.rule_type().alias("kind"))
+    return comparable(
+        rows.groupBy("kind", cl.mitre_technique(F.col("kind")).alias("technique")).agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 @query(f"""
 WITH {ANOMALIES_SQL}
 SELECT anomaly_id,

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalog.alerting import alerts, handled, incidents, status_updates
 from catalog.registry import query
-from catalog.views import ANOMALIES_SQL, CORRELATED_SQL, PRIORITY_SQL, anomalies, comparable
+from catalog.views import ANOMALIES_SQL, CORRELATED_SQL, PRIORITY_SQL, anomalies, comparable, table
 from tidegauge.operators import escalate, lifecycle, reports
 
 PRIORITIES_SQL = PRIORITY_SQL + """,
@@ -93,6 +94,17 @@ def score_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(reports.score_percentiles(anomalies(spark, sf_dir)))
 
 
+@query("""
+SELECT round(quantile_cont(s, 0.95), 7) AS p95, round(quantile_cont(s, 0.99), 7) AS p99
+FROM (SELECT 0.99 + 0.001 * l_extendedprice / (l_extendedprice + 40000) AS s FROM lineitem)""")
+def fine_score_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of scores that lie close together."""
+    price = F.col("l_extendedprice")
+    scores = table(spark, sf_dir, "lineitem").select((0.99 + 0.001 * price / (price + 40000)).alias("score"))
+    found = reports.score_percentiles(scores, "score")
+    return found.select(F.round("p95", 7).alias("p95"), F.round("p99", 7).alias("p99"))
+
+
 @query(f"""
 WITH {ANOMALIES_SQL}
 SELECT src_ip || ':' || dst_ip AS pair, count(*) AS n FROM anomalies GROUP BY 1 ORDER BY n DESC, pair LIMIT 10""")

@@ -135,6 +135,9 @@ TYPE_TECHNIQUE = {
     "protocol_violation": "T0855 - Unauthorized Command Message",
     "value_manipulation": "T0879 - Damage to Property",
     "timing_anomaly": "T0882 - Theft of Operational Information",
+    "command_injection": "T0831 - Manipulation of Control",
+    "unauthorized_access": "T0821 - Modify Controller Tasking",
+    "data_exfiltration": "T0882 - Theft of Operational Information",
 }
 
 

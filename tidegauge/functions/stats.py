@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed value: the constant inside the logarithm of every entropy feature
@@ -24,6 +26,12 @@ def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(empty))
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several one-row frames in one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 

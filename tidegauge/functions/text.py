@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 def joined_key(*parts: Column | str) -> Column:
-    return F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts])
+    """Parts with a colon between them; an absent part leaves its place empty, so keys can't coincide over it."""
+    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
 
 
 def title_case(snake: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.names import TYPE_SEVERITY, TYPE_TECHNIQUE
+from tidegauge.functions.ordered import exact_quantiles
 from tidegauge.functions.text import lookup
 
 # fixed values: score thresholds of the four classes
@@ -170,17 +171,11 @@ def risk_severity(
     )
 
 
-def adaptive_threshold(scores: DataFrame, quantile: float = 0.95, digits: int = 4) -> DataFrame:
-    """Score threshold per device and hour of day.
-
-    Scores are kept to `digits` decimals, so the exact percentile holds at most 10^digits + 1
-    counters per group, however many rows a device has.
-    """
-    return scores.groupBy(
-        "src_ip", F.pmod(F.floor(F.col("detected_s") / 3600), F.lit(24)).cast("int").alias("hour")
-    ).agg(
-        F.percentile(F.round("ensemble_score", digits), F.lit(quantile)).alias("threshold"),
-        F.count(F.lit(1)).alias("samples"),
+def adaptive_threshold(scores: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """Score threshold per device and hour of day, and the number of scores it comes from."""
+    hour = F.pmod(F.floor(F.col("detected_s") / 3600), F.lit(24)).cast("int")
+    return exact_quantiles(
+        scores.withColumn("hour", hour), "ensemble_score", {"threshold": quantile}, ["src_ip", "hour"]
     )
 
 

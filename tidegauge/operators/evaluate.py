@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.ordered import order_breaks, running_totals
+from tidegauge.functions.ordered import exact_quantiles, order_breaks, running_totals
+from tidegauge.functions.stats import one_row
 
 
 def evaluate_scores(df: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -54,15 +55,14 @@ def labelled_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
         best.alias("best"), (F.sum("pairs") / F.max("all_pairs")).alias("roc_auc")
     ).select(
         F.col("best.threshold").alias("optimal_threshold"), "best.precision", "best.recall", "best.f1",
-        "roc_auc", F.lit(1).alias("_one"),
+        "roc_auc",
     )
     spread = df.agg(
         F.avg(score).alias("score_mean"),
         F.stddev_pop(score).alias("score_std"),
-        F.percentile(score, F.lit(0.95)).alias("score_p95"),
-        F.percentile(score, F.lit(0.99)).alias("score_p99"),
-    ).withColumn("_one", F.lit(1))
-    return spread.join(found, "_one").drop("_one")
+    )
+    high = exact_quantiles(df, score, {"score_p95": 0.95, "score_p99": 0.99}).drop("samples")
+    return one_row(spread, high, found)
 
 
 def ks_drift(
@@ -150,9 +150,7 @@ def dataset_quality(
     if order:
         single = df if source else df.withColumn("_source", F.lit(0))
         breaks = order_breaks(single, time, [source or "_source"], order, span)
-        figures = figures.withColumn("_one", F.lit(1)).join(
-            breaks.agg(F.sum("order_breaks").alias("order_breaks")).withColumn("_one", F.lit(1)), "_one"
-        ).drop("_one")
+        figures = one_row(figures, breaks.agg(F.sum("order_breaks").alias("order_breaks")))
     else:
         figures = figures.withColumn("order_breaks", F.lit(0))
     rule = lambda broken, text: F.when(F.coalesce(broken, F.lit(False)), F.lit(text))

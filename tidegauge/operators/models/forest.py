@@ -87,18 +87,17 @@ def sample_for_trees(
 ) -> DataFrame:
     """`tree` and `scaled`: a hash-chosen sample per tree, the same on every run.
 
-    A large input is thinned first and each surviving row goes to one tree. Only an input too
-    small for that offers every row to every tree.
+    Every tree draws from all rows by a hash of its own, twice its sample on average, and takes
+    the `sample` rows (a parameter of the model) that come first; trees may share rows. The share
+    to draw follows from `rows`, which is counted if not given.
     """
     count = df.count() if rows is None else rows
     share = min(1.0, 2.0 * sample / max(count, 1))
     mark = lambda *salt: F.pmod(F.xxhash64(*salt, *keys), F.lit(_SPACE))
-    if share * trees <= 1.0:
-        kept = df.filter(mark(F.lit(seed)) < int(share * trees * _SPACE))
-        offered = kept.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(trees)))
-    else:
-        every = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        offered = every.filter(mark(F.lit(seed), F.col("tree")) < int(share * _SPACE))
+    drawn = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: mark(F.lit(seed), tree) < int(share * _SPACE)
+    )
+    offered = df.withColumn("tree", F.explode(drawn))
     order = Window.partitionBy("tree").orderBy(mark(F.lit(seed + 2), F.col("tree")), *keys)
     chosen = offered.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= sample)
     return chosen.select(F.col("tree").cast("int").alias("tree"), "rn", "scaled")

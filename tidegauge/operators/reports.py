@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.ordered import exact_quantiles
+from tidegauge.functions.stats import one_row
 from tidegauge.functions.text import joined_key
 
 
@@ -32,15 +34,13 @@ def pipeline_counters(alerts: DataFrame, escalations: DataFrame) -> DataFrame:
         F.count_if(F.col("incident_seq") > 1).alias("incidents_updated"),
     )
     raised = escalations.agg(F.count(F.lit(1)).alias("escalations"))
-    one = F.lit(1).alias("_one")
-    return counts.select("*", one).join(raised.select("*", one), "_one").drop("_one")
+    return one_row(counts, raised)
 
 
 def open_counts(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
-    one = F.lit(1).alias("_one")
     opened = alerts.agg(F.count_if(F.col("status") == "open").alias("open_alerts"))
     active = incidents.agg(F.count_if(F.col("status") == "active").alias("active_incidents"))
-    return opened.select("*", one).join(active.select("*", one), "_one").drop("_one")
+    return one_row(opened, active)
 
 
 def rate_by(df: DataFrame, dimension: str, period_s: int, time: str = "detected_s") -> DataFrame:
@@ -78,12 +78,9 @@ def score_distribution(df: DataFrame, score: str = "ensemble_score") -> DataFram
     )
 
 
-def score_percentiles(df: DataFrame, score: str = "ensemble_score", digits: int = 4) -> DataFrame:
-    """p95 and p99; scores at `digits` decimals keep the exact percentile's buffer small."""
-    value = F.round(score, digits)
-    return df.agg(
-        F.percentile(value, F.lit(0.95)).alias("p95"), F.percentile(value, F.lit(0.99)).alias("p99")
-    )
+def score_percentiles(df: DataFrame, score: str = "ensemble_score") -> DataFrame:
+    """p95 and p99 of the scores as they are; both are NULL without scores."""
+    return exact_quantiles(df, score, {"p95": 0.95, "p99": 0.99}).agg(F.max("p95").alias("p95"), F.max("p99").alias("p99"))
 
 
 def top_pairs(df: DataFrame, top: int = 10) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,15 +41,21 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's checkpoint folder.
+
+    Where none is configured a temporary one serves, but only if driver and executors are one process.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     """The frame as a table in a shared folder: computed once, read by everything after it."""
-    path = f"{folder}/{name}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"  # jobs on one store stay apart
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,9 +20,9 @@ Source = str | Mapping[str, str]
 
 
 def read_text_records(spark: SparkSession, source: Source, streaming: bool = False) -> DataFrame:
-    """`value` and where it came from, out of a path or of Kafka options.
+    """`value`, where it came from and when it arrived, out of a path or of Kafka options.
 
-    A path is read line by line. Options are handed to the Kafka source, several topics as
+    A path is read line by line; lines arrive when their file is written. Options are handed to the Kafka source, several topics as
     one comma-separated `subscribe` list; the connector is the cluster's to provide.
     """
     reader = spark.readStream if streaming else spark.read
@@ -33,13 +33,20 @@ def read_text_records(spark: SparkSession, source: Source, streaming: bool = Fal
             F.col("_metadata.file_name").alias("topic"),
             F.lit(0).alias("partition"),
             F.col("_metadata.file_block_start").alias("offset"),
+            F.col("_metadata.file_modification_time").alias("ingest_ts"),
         )
     records = reader.format("kafka").options(**source).load()
-    return records.select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset")
+    return records.select(
+        F.col("value").cast("string").alias("value"), "topic", "partition", "offset",
+        F.col("timestamp").alias("ingest_ts"),
+    )
 
 
 def parse(records: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> DataFrame:
-    """Typed columns, the raw `value`, and `reject_reason` for records that are not usable."""
+    """Typed columns, the raw `value`, and `reject_reason` for records that are not usable.
+
+    `ingest_ts`, the arrival time, stands in for the event time of messages without one.
+    """
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = records.withColumn(
         "_r",
@@ -51,7 +58,7 @@ def parse(records: DataFrame, schema: T.StructType, required: Sequence[str] = ()
     for name in required:
         reason = reason.when(F.col(f"_r.{name}").isNull(), f"missing_{name}")
     return parsed.select(
-        "value", "topic", "partition", "offset",
+        "value", "topic", "partition", "offset", *[c for c in ("ingest_ts",) if c in records.columns],
         *[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields],
         reason.alias("reject_reason"),
     )
@@ -128,9 +135,11 @@ def read_training_features(
     from tidegauge.operators.prep import feature_names
 
     good, _ = quarantine(read_features(spark, source))
-    rows = good.drop("topic", "partition", "offset")
+    rows = good.drop("topic", "partition", "offset", "ingest_ts")
     if max_rows is not None:
-        rows = rows.orderBy("window_key.window_start").limit(max_rows)
+        # no ties: rows that agree in everything are the same row
+        whole = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
+        rows = rows.orderBy("window_key.window_start", "window_key", whole).limit(max_rows)
     return rows, feature_names(rows)
 
 

@@ -70,8 +70,8 @@ class FeatureStream:
     """A `foreachBatch` sink that turns flat messages into vectors of closed windows.
 
     Under `store` it keeps `messages` (open and recent ones), `progress` (one row per batch),
-    `late` (rows whose smallest window had closed when they came) and `vectors`. Every output of a
-    batch lies in a folder of its own that a repeated batch overwrites, so a restart after a
+    `late` (a row for each window that had closed when a message came; it still counts in its windows
+    that are open) and `vectors`. Every output of a batch lies in a folder of its own that a repeated batch overwrites, so a restart after a
     failure changes nothing.
     """
 
@@ -88,15 +88,19 @@ class FeatureStream:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = self._watermark(spark, batch_id)
-        smallest_end = floor_to(F.col("ts_us"), min(self.sizes)) + min(self.sizes)
-        late = smallest_end <= before
+        ends = [floor_to(F.col("ts_us"), size) + size for size in self.sizes]
+        counts = F.exists(F.array(*ends), lambda end: end > before)
         staged = batch.filter(F.col("ts_us").isNotNull()).withColumn(
             "chunk", floor_to(F.col("ts_us"), self.chunk_s)
         )
-        staged.filter(~late).write.mode("overwrite").partitionBy("chunk").parquet(
+        # windows are emitted once, after their end: a message can't reach one that had closed before
+        staged.filter(counts).write.mode("overwrite").partitionBy("chunk").parquet(
             self._folder("messages", batch_id)
         )
-        staged.filter(late).drop("chunk").write.mode("overwrite").parquet(self._folder("late", batch_id))
+        missed = assign_windows(staged.drop("chunk"), self.sizes).filter(
+            F.col("window_start") + F.col("window_size") <= before
+        )
+        missed.write.mode("overwrite").parquet(self._folder("late", batch_id))
         newest = staged.agg(F.max("ts_us")).first()[0]
         now = before if newest is None else max(before, newest // MICROS - self.lateness_s)
         spark.createDataFrame([(batch_id, now)], "batch_id bigint, watermark_s bigint").coalesce(
