@@ -25,7 +25,7 @@ def running_totals(
     shares = [i / pieces for i in range(1, pieces)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(order, shares, 1000).alias("_cuts"))
     if by:
-        cut = df.join(cuts, by)
+        cut = _matched(df, cuts, by)
         bounds = F.col("_cuts")
     else:
         found = cuts.first()[0] or []  # at most `pieces` numbers
@@ -43,12 +43,19 @@ def running_totals(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = cut.join(offsets, [*by, "_piece"])
+    summed = _matched(cut, offsets, [*by, "_piece"])
     for s in sums:
         summed = summed.withColumn(f"running_{s}", F.sum(s).over(inside) + F.col(f"_off_{s}"))
     return summed.drop("_piece", "_cuts", *[f"_off_{s}" for s in sums])
 
 
+def _matched(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join by key names in which NULL equals NULL."""
+    named = facts.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def exact_quantiles(
     df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -98,11 +105,9 @@ def forward_fill(
     ]
     before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = cut.groupBy(*by, "_span").agg(*last_known).select(
-        *[F.col(c).alias(f"_of_{c}") for c in [*by, "_span"]],
-        *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
+        *by, "_span", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
     )
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_span"]])
-    filled = cut.join(carried, same)
+    filled = _matched(cut, carried, [*by, "_span"])
     for c in columns:
         own = F.last(c, ignorenulls=True).over(inside)
         filled = filled.withColumn(f"_fill_{c}", F.coalesce(own, F.col(f"_carry_{c}")))
