@@ -100,6 +100,53 @@ def test_suppression_against_a_plain_loop(spark, seed):
         assert {k: sorted(v) for k, v in got.items()} == {k: plain_suppress(v, ttl) for k, v in keys.items()}
 
 
+@pytest.mark.parametrize("span", [2, 3, 128])
+def test_long_runs_with_releases_against_a_plain_loop(spark, monkeypatch, span):
+    """Unbroken runs over many blocks: the tables are composed, and the entries come back down the levels."""
+    monkeypatch.setattr(dedup, "SPAN", span)
+    rng = np.random.default_rng(span)
+    keys = {f"k{k}": sorted({int(x) for x in rng.integers(-3000, 9000, n)}) for k, n in enumerate((30, 400, 2000, 6000))}
+    freed = {k: sorted(int(x) for x in rng.integers(-3100, 9100, 40)) for k in list(keys)[1:]}
+    rows = [(k, s, i) for k, all_s in keys.items() for i, s in enumerate(all_s)]
+    frame = spark.createDataFrame(rows, "dedup_key string, detected_s bigint, anomaly_id bigint")
+    releases = spark.createDataFrame(
+        [(k, r) for k, all_r in freed.items() for r in all_r], "dedup_key string, released_s bigint"
+    )
+    for ttl, given in ((7, None), (60, releases), (45, releases)):
+        expected = set()
+        for key, seconds in keys.items():
+            lock = None
+            for s in seconds:
+                if lock is None or s >= lock:
+                    expected.add((key, s))
+                    after = [max(r, s + 1) for r in freed.get(key, []) if r >= s] if given is not None else []
+                    lock = min([s + ttl, *after])
+        marked = dedup.suppress_duplicates(frame, ttl, releases=given).filter(~F.col("suppressed"))
+        assert {(r.dedup_key, r.detected_s) for r in marked.collect()} == expected
+
+
+def test_closures_against_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(s), 0.8, "timing_anomaly", f"s{i % 3}", "d") for i, s in enumerate(rng.integers(0, 20000, 500))]
+    frame = anomalies(spark, rows)
+    keyed = frame.withColumn("correlation_key", co.correlation_key())
+    names = [r.correlation_key for r in keyed.select("correlation_key").distinct().collect()]
+    closed = {names[0]: sorted(int(x) for x in rng.integers(0, 20000, 60)), names[1]: [100, 100, 4000]}
+    closures = spark.createDataFrame(
+        [(k, c) for k, all_c in closed.items() for c in all_c], "correlation_key string, closed_s bigint"
+    )
+    got = {r.anomaly_id: (r.incident_started_s, r.incident_seq) for r in co.correlate(frame, 300, closures=closures).collect()}
+    expected, open_ = {}, {}
+    for r in sorted(keyed.collect(), key=lambda r: (r.detected_s, r.anomaly_id)):
+        era = sum(c < r.detected_s for c in closed.get(r.correlation_key, []))
+        started, last, n, before = open_.get(r.correlation_key, (None, None, 0, None))
+        if last is None or r.detected_s - last > 300 or era != before:
+            started, n = r.detected_s, 0
+        open_[r.correlation_key] = (started, r.detected_s, n + 1, era)
+        expected[r.anomaly_id] = (started, n + 1)
+    assert got == expected
+
+
 def test_a_release_frees_the_key(spark):
     found = co.to_alerts(co.correlate(simple(spark, [0, 10, 20, 30, 90])))
     releases = found.filter(F.col("detected_s") == 10).select("dedup_key", F.lit(15).cast("bigint").alias("released_s"))

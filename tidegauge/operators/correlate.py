@@ -60,7 +60,7 @@ def correlate(
     """
     slice_s = min(slice_s or gap_s, gap_s)
     keyed = anomalies.withColumn("correlation_key", correlation_key(key_columns))
-    keyed = _with_era(keyed, closures)
+    keyed = _with_era(keyed, closures, slice_s)
     keyed = keyed.withColumn("slice", F.floor(F.col("detected_s") / slice_s))
     place = ["correlation_key", "era", "slice"]
 
@@ -97,17 +97,27 @@ def correlate(
     )
 
 
-def _with_era(keyed: DataFrame, closures: DataFrame | None) -> DataFrame:
-    """How many closures of the key lie before the anomaly."""
+def _with_era(keyed: DataFrame, closures: DataFrame | None, slice_s: int) -> DataFrame:
+    """How many closures of the key lie before the anomaly: those of earlier slices and of its own."""
     if closures is None:
         return keyed.withColumn("era", F.lit(0))
-    # operators close an incident by hand, so the list of a key is short
-    listed = closures.groupBy("correlation_key").agg(F.collect_list("closed_s").alias("closed"))
-    passed = F.size(F.filter("closed", lambda c: c < F.col("detected_s")))
+    closing = closures.select(
+        "correlation_key", F.col("closed_s").cast("bigint").alias("detected_s"), F.lit(1).alias("closing")
+    )
+    both = keyed.unionByName(closing, allowMissingColumns=True).withColumn(
+        "era_slice", F.floor(F.col("detected_s") / slice_s)
+    )
+    place = ["correlation_key", "era_slice"]
+    earlier = Window.partitionBy("correlation_key").orderBy("era_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = both.groupBy(*place).agg(F.count("closing").alias("closed")).select(
+        *place, F.sum("closed").over(earlier).alias("closed_before")
+    )
+    inside = Window.partitionBy(*place).orderBy("detected_s").rangeBetween(Window.unboundedPreceding, -1)
+    counted = both.withColumn("closed_inside", F.count("closing").over(inside)).filter("closing IS NULL")
+    era = F.coalesce("closed_before", F.lit(0)) + F.col("closed_inside")
     return (
-        keyed.join(listed, "correlation_key", "left")
-        .withColumn("era", F.when(F.col("closed").isNull(), 0).otherwise(passed))
-        .drop("closed")
+        counted.join(slices, place).withColumn("era", era)
+        .drop("closing", "era_slice", "closed_inside", "closed_before")
     )
 
 
