@@ -11,7 +11,7 @@ import os
 import tempfile
 import time
 
-from catalog import alerting, features, models, packets, vectors, views
+from catalog import alerting, features, packets, vectors, views
 from tidegauge.operators import envelope
 from tidegauge.operators import features as feature_ops
 from tidegauge.operators.windows import assign_windows
@@ -46,13 +46,10 @@ def main() -> None:
     kept, _ = envelope.route_by_protocol(stored)
     envelope.flatten_envelope(envelope.to_envelope(kept)).write.parquet(f"{folder}/messages")
     flat = spark.read.parquet(f"{folder}/messages")
-    days = features.feature_rows(spark, SF_DIR).filter(f"window_size = {views.SIZES[2]}")
-    days.write.parquet(f"{folder}/days")
-    days = spark.read.parquet(f"{folder}/days")
     hours = features.feature_rows(spark, SF_DIR)
     hours.write.parquet(f"{folder}/vectors")
     hours = spark.read.parquet(f"{folder}/vectors")
-    artifacts = jobs.train(days, models.NAMES, seed=1, trees=50, steps=5, sequence_length=5)[0]
+    artifacts = jobs.train(hours, seed=1)[0]
 
     timed = {
         "decode_packets": (lambda: run(envelope.decode_packets(stored)), stored.count()),

@@ -100,6 +100,25 @@ def rule_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(rows.select(*WINDOW, cl.rule_type().alias("rule_type")))
 
 
+@query("WITH " + WINDOWED_SQL + GAPS_SQL + f""",
+volume AS (
+  SELECT {GROUP_SQL}, count(*) AS n, sum(payload_size) AS b, max(payload_size) AS top
+  FROM windowed GROUP BY {GROUP_SQL}),
+usual AS (
+  SELECT src_ip, dst_ip, protocol, window_size, avg(n) AS n0, avg(b) AS b0
+  FROM volume GROUP BY src_ip, dst_ip, protocol, window_size)
+SELECT {KEY_SQL}, CASE WHEN top > 1024 OR n > 2 * n0 OR b > 3 * b0 THEN 'volume_anomaly'
+    WHEN iat_std > 1.0 OR iat_max > 10 OR abs(n - n0) > 0.5 * n0 THEN 'timing_anomaly'
+    ELSE 'unknown' END AS rule_type
+FROM volume JOIN timing USING ({GROUP_SQL}) JOIN usual USING (src_ip, dst_ip, protocol, window_size)""")
+def rule_type_by_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume and timing rules of all protocols, with the cut-offs relative to the flow's baseline."""
+    rows = feature_rows(spark, sf_dir)
+    rules = {kind: cl.RULES[kind] for kind in ("volume_anomaly", "timing_anomaly")}
+    judged = cl.with_baseline(rows, cl.flow_baseline(rows))
+    return comparable(judged.select(*WINDOW, cl.rule_type(rules, relative=True).alias("rule_type")))
+
+
 @query(f"""
 WITH rows AS ({MODBUS_SQL}),
 typed AS (

@@ -1,4 +1,4 @@
-"""The outlier models on the month's hourly vectors, and the whole way to alerts."""
+"""The outlier models on all vectors of the month, with their own defaults, and the whole way to alerts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.features import feature_rows
 from catalog.registry import query
-from catalog.views import ANOMALIES_SQL, GAP_S, SIZES, TTL_S, anomalies, comparable, table
+from catalog.views import ANOMALIES_SQL, GAP_S, TTL_S, anomalies, comparable, table
 from tidegauge.operators import prep
 from tidegauge.operators.models import ensemble
 from tidegauge.operators.models.boundary import fit_boundary
@@ -15,34 +15,39 @@ from tidegauge.operators.models.forest import fit_forest
 from tidegauge.operators.models.recon import fit_reconstruction
 from tidegauge.operators.windows import WINDOW
 from tidegauge.plans import jobs
+from tidegauge.session import materialise, shared_dir
 
-NAMES = ["bytes_mean", "bytes_std", "bytes_total", "iat_mean", "iat_std", "message_count"]
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of all window sizes, written once: fits pass over them many times."""
+    return materialise(feature_rows(spark, sf_dir), shared_dir(spark), "vectors")
 
-def scaled_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = feature_rows(spark, sf_dir).filter(F.col("window_size") == SIZES[2])
-    return prep.scale(rows, prep.fit_scaler(rows, NAMES)).select(*WINDOW, "scaled")
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of all vectors, scaled."""
+    rows = vectors(spark, sf_dir)
+    return prep.scale(rows, prep.fit_scaler(rows)).select(*WINDOW, "scaled")
 
 
 @query()
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scaled_days(spark, sf_dir)
-    model = fit_forest(rows, trees=50, seed=1)
+    rows = scaled(spark, sf_dir)
+    model = fit_forest(rows, seed=1)
     return comparable(rows.select(*WINDOW, model.score(F.col("scaled")).alias("score")))
 
 
 @query()
 def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scaled_days(spark, sf_dir)
-    model = fit_boundary(rows, steps=10, seed=1)
+    rows = scaled(spark, sf_dir)
+    model = fit_boundary(rows, seed=1)
     return comparable(rows.select(*WINDOW, model.score(F.col("scaled")).alias("score")))
 
 
 @query()
 def reconstruction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scaled_days(spark, sf_dir)
-    model = fit_reconstruction(prep.training_sequences(rows, 5))
-    found = prep.rolling_sequences(rows, 5)
+    rows = scaled(spark, sf_dir)
+    model = fit_reconstruction(prep.training_sequences(rows))
+    found = prep.rolling_sequences(rows)
     return comparable(found.select(*WINDOW, model.score(F.col("sequence")).alias("score")))
 
 
@@ -52,7 +57,7 @@ def embedding_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("scaled")
     )
-    model = fit_forest(rows, trees=50, seed=1, keys=["vec_id"])
+    model = fit_forest(rows, seed=1, keys=["vec_id"])
     return comparable(rows.select("vec_id", model.score(F.col("scaled")).alias("score")))
 
 
@@ -88,13 +93,13 @@ def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _artifacts(rows: DataFrame) -> jobs.Artifacts:
-    return jobs.train(rows, NAMES, seed=1, trees=25, steps=5, sequence_length=5)[0]
+    return jobs.train(rows, seed=1)[0]
 
 
 @query()
 def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on the daily vectors and score them."""
-    rows = feature_rows(spark, sf_dir).filter(F.col("window_size") == SIZES[2])
+    """Train on the vectors and score them."""
+    rows = vectors(spark, sf_dir)
     scored = jobs.score_features(rows, _artifacts(rows))
     return comparable(scored.select(
         *WINDOW, "ensemble_score", "classification", "anomaly_type", "confidence",
@@ -105,7 +110,7 @@ def score_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def events_to_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From messages over vectors and scores to incidents with priorities."""
-    rows = feature_rows(spark, sf_dir).filter(F.col("window_size") == SIZES[2])
+    rows = vectors(spark, sf_dir)
     _, incidents, _ = jobs.alerting(
         jobs.score_features(rows, _artifacts(rows)), gap_s=GAP_S * 10, ttl_s=TTL_S
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.names import TYPE_SEVERITY, TYPE_TECHNIQUE
 from tidegauge.functions.ordered import exact_quantiles
 from tidegauge.functions.text import lookup
+from tidegauge.operators.prep import SERIES
 
 # fixed values: score thresholds of the four classes
 SUSPICIOUS, ANOMALY, CRITICAL = 0.4, 0.7, 0.9
@@ -120,14 +121,46 @@ RULES: dict[str, dict[str, float]] = {
 ALL_BOUNDS = ("data_exfiltration",)
 
 
-def rule_type(rules: Mapping[str, Mapping[str, float]] = RULES) -> Column:
-    """First matching type in the order of the table, else `unknown`."""
+# fixed values: multiples of the flow's baseline above which a feature counts as anomalous, by anomaly type
+RELATIVE_RULES: dict[str, dict[str, float]] = {"volume_anomaly": {"message_count": 2.0, "bytes_total": 3.0}}
+# fixed value: share of the baseline by which the message count may deviate before the timing counts as anomalous
+COUNT_DEVIATION = 0.5
+
+
+def flow_baseline(rows: DataFrame) -> DataFrame:
+    """What is usual for each flow and window size: the means of the features that relative rules look at."""
+    names = dict.fromkeys(n for bounds in RELATIVE_RULES.values() for n in bounds)
+    return rows.groupBy(*SERIES).agg(*[F.avg(n).alias(f"baseline_{n}") for n in names])
+
+
+def with_baseline(rows: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Vectors with the columns of `flow_baseline`; a flow it does not know has nulls there and breaks no rule."""
+    return rows.join(baseline, SERIES, "left")
+
+
+def _relative(kind: str) -> list[Column]:
+    usual = lambda name: F.col(f"baseline_{name}")
+    passed = [F.col(n) > factor * usual(n) for n, factor in RELATIVE_RULES.get(kind, {}).items()]
+    if kind == "timing_anomaly":
+        count = F.col("message_count")
+        passed.append(F.abs(count - usual("message_count")) > COUNT_DEVIATION * usual("message_count"))
+    return passed
+
+
+def rule_type(rules: Mapping[str, Mapping[str, float]] = RULES, relative: bool = False) -> Column:
+    """First matching type in the order of the table, else `unknown`.
+
+    With `relative`, for rows of `with_baseline`, a type also matches where a feature is out of
+    proportion to the flow's own baseline.
+    """
     decided = None
     for kind, bounds in rules.items():
         passed = [F.coalesce(F.col(name) > bound, F.lit(False)) for name, bound in bounds.items()]
         hit = passed[0]
         for condition in passed[1:]:
             hit = (hit & condition) if kind in ALL_BOUNDS else (hit | condition)
+        for condition in _relative(kind) if relative else []:
+            hit = hit | F.coalesce(condition, F.lit(False))
         decided = F.when(hit, kind) if decided is None else decided.when(hit, kind)
     return decided.otherwise("unknown")
 
@@ -192,6 +225,6 @@ def apply_adaptive_threshold(scores: DataFrame, thresholds: DataFrame) -> DataFr
 
 __all__ = [
     "adaptive_threshold", "apply_adaptive_threshold", "classify", "feature_contributions",
-    "identify_type", "mitre_technique", "recon_score", "risk_severity", "rule_type",
-    "timing_score", "top_contributors", "type_severity", "volume_score",
+    "flow_baseline", "identify_type", "mitre_technique", "recon_score", "risk_severity", "rule_type",
+    "timing_score", "top_contributors", "type_severity", "volume_score", "with_baseline",
 ]
