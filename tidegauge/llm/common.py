@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,11 @@ def stored(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """At the end of a task: Arrow's free memory goes back to the machine, as Python workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def in_hash_share(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text has this remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import pick, run_folder, stored, utf8, words
+from tidegauge.llm.common import give_back, pick, run_folder, stored, utf8, words
 from tidegauge.llm.graph import components
 
 SHINGLE = 5
@@ -41,7 +41,8 @@ SKETCH_APART = 46
 PARITY_BITS = 1024
 _SKETCHES = [f"s{n}" for n in range(SKETCH_BITS // 64)]
 _PARITIES = [f"o{n}" for n in range(PARITY_BITS // 64)]
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
+ROWS_AT_ONCE = 500  # texts whose sets a task holds
 _CHUNK = 2048
 
 _RNG = np.random.Generator(np.random.PCG64(20240101))
@@ -132,22 +133,30 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(list(keys))],
             names=["doc_id", "n_shingles", "digest", "halves"],
         )
+    give_back()
 
 
 _DESCRIBED = "doc_id long, n_shingles long, digest binary, halves array<long>"
 
 
+def _in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
-    for batch in batches:
+    names = [*_SKETCHES, *_PARITIES]
+    for batch in _in_slices(batches):
         sets = [shingles(data.as_py(), known) for data in batch.column(1)]
-        names = [*_SKETCHES, *_PARITIES]
         bits = np.array([np.concatenate([sketch(s), parity(s)]) for s in sets], dtype=np.int64).reshape(-1, len(names))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)]
             + [pa.array(bits[:, n]) for n in range(len(names))],
             names=["rep", "size", "set", *names],
         )
+    give_back()
 
 
 _WHOLE_SETS = ", ".join(["rep long, size long, set array<long>", *[f"{n} long" for n in [*_SKETCHES, *_PARITIES]]])

@@ -22,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import pick, utf8
+from tidegauge.llm.common import give_back, pick, utf8
 
 SEQUENCE = 2048
 END_ID = 1
 GROUP_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-KNOWN_PIECES = 400_000  # ids remembered by a worker
+KNOWN_PIECES = 100_000  # ids remembered by a task
 _ENCODERS: dict[str, Encoder] = {}
 
 # The letters byte-level vocabularies are written in: visible Latin-1 bytes stand for themselves, the others, in
@@ -159,6 +159,8 @@ def pack_documents(
                 names, ids, held, next_id = [], [], 0, next_id + used
         if names:
             yield rows(names, ids, next_id, id_type)[0]
+        code.known.clear()
+        give_back()
 
     picked = docs.select(pick(doc_id).alias("doc_id"), utf8(text).alias("text"))
     return picked.mapInArrow(pack, T.StructType(fields))

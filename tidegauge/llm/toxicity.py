@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import free_name, pick, run_folder, stored, utf8
+from tidegauge.llm.common import free_name, give_back, pick, run_folder, stored, utf8
 
 SAMPLE = 20_000  # most labelled texts the fit sees
 FEATURES = 1 << 16  # most weights of a model
@@ -33,7 +33,7 @@ PENALTY = 1e-5  # of squared weights
 SWAP_PENALTY = 1.0  # of squared changes of the score
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 # Terms that name groups, by kind and form; a term is swapped for the others of its line.
 IDENTITY_TERMS = (
@@ -301,6 +301,7 @@ def _scorer(model):
                 for d in texts
             ]
             yield pd.Series(_sigmoid(np.array(sums, dtype=float) + bias))
+        give_back()
 
     return F.pandas_udf(score, "double")
 
