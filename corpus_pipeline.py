@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegauge.llm import decontaminate, exact_dedup, minhash, packing, toxicity
 from tidegauge.llm.common import run_folder, stored
 
+SIMILAR = (80, 100)  # near copies share this much of their shingles, at least; op1_minhash has a contract of its own
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, similar=SIMILAR)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 from operator import add
 
 import numpy as np
@@ -36,8 +37,7 @@ ROWS = 3  # minimum hashes in half a key
 SIMILAR = (85, 100)  # intersection to union, at least
 ASKING_ROUNDS = 4
 SKETCH_BITS = 256
-# Of 256 bits a pair of similarity 0.85 differs in 19 on average; more than this happens once in 10**8 such pairs.
-SKETCH_APART = 46
+SKETCH_MISSES = 1e-8  # share of just similar pairs whose sketches may differ in more bits than `sketch_apart` allows
 PARITY_BITS = 1024
 _SKETCHES = [f"s{n}" for n in range(SKETCH_BITS // 64)]
 _PARITIES = [f"o{n}" for n in range(PARITY_BITS // 64)]
@@ -107,6 +107,19 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def sketch_apart(similar: tuple[int, int]) -> int:
+    """In how many bits the sketches of a similar pair differ at most: more happens to SKETCH_MISSES of the pairs that are
+    just similar. Each bit differs with a probability of half the dissimilarity: 19 of 256 on average at 0.85, 26 at 0.8."""
+    part, whole = similar
+    differs = (whole - part) / (2 * whole)
+    chance = lambda n: comb(SKETCH_BITS, n) * differs**n * (1 - differs) ** (SKETCH_BITS - n)
+    most, beyond = SKETCH_BITS, 0.0
+    while most and beyond + chance(most) <= SKETCH_MISSES:
+        beyond += chance(most)
+        most -= 1
+    return most
+
+
 def parity(hashes: np.ndarray) -> np.ndarray:
     """Whether an odd number of shingles falls on each of PARITY_BITS places, as longs."""
     odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
@@ -224,7 +237,7 @@ def _left_over(members: DataFrame, sets: DataFrame, tested: DataFrame, similar:
         & (whole * F.least("size_a", "size_b") >= part * F.greatest("size_a", "size_b"))
         # of similar sets at most this share of all shingles stands on one side only
         & ((whole + part) * differ(_PARITIES) <= (whole - part) * (F.col("size_a") + F.col("size_b")))
-        & (differ(_SKETCHES) <= SKETCH_APART)
+        & (differ(_SKETCHES) <= sketch_apart(similar))
     )
     pairs = one.join(two, (one["key"] == two["key"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")
