@@ -278,6 +278,14 @@ def normal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.normal_only(marked, "y").select("anomaly_id")
 
 
+def _f1(rated: DataFrame, half: int) -> DataFrame:
+    hit = F.col("s") >= 0.5
+    return rated.filter(F.col("doc_id") % 2 == half).agg(
+        F.lit("ensemble").alias("model"),
+        (2 * F.sum(F.when(hit, F.col("y")).otherwise(0)) / (F.count_if(hit) + F.sum("y"))).alias("f1"),
+    )
+
+
 @query(f"""
 WITH {DRIFT_SQL.rstrip()}, {LABELLED_SQL.strip()},
 halves AS (
@@ -291,12 +299,28 @@ FROM f a, f b WHERE a.h = 0 AND b.h = 1""")
 def retrain_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 at 0.5 on even and odd documents stands for before and after."""
     rated = _rated(spark, sf_dir)
+    return comparable(evaluate.retrain_triggers(_f1(rated, 0), _f1(rated, 1), _drift(spark, sf_dir)))
+
+
+def _drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feature_rows(spark, sf_dir)
+    early = F.col("window_start") < 1705276800
+    return evaluate.ks_drift(rows.filter(early), rows.filter(~early), prep.feature_names(rows))
+
 
-    def f1(half: int) -> DataFrame:
-        hit = F.col("s") >= 0.5
-        return rated.filter(F.col("doc_id") % 2 == half).agg(
-            F.lit("ensemble").alias("model"),
-            (2 * F.sum(F.when(hit, F.col("y")).otherwise(0)) / (F.count_if(hit) + F.sum("y"))).alias("f1"),
-        )
+@query()
+def ks_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ks_drift, over the windows of all sizes and every numeric feature."""
+    return comparable(_drift_all(spark, sf_dir))
+
+
+@query()
+def drift_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(evaluate.drift_summary(_drift_all(spark, sf_dir)))
 
-    return comparable(evaluate.retrain_triggers(f1(0), f1(1), _drift(spark, sf_dir)))
+
+@query()
+def retrain_triggers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As retrain_triggers, but drift in any feature and any window size fires it."""
+    rated = _rated(spark, sf_dir)
+    return comparable(evaluate.retrain_triggers(_f1(rated, 0), _f1(rated, 1), _drift_all(spark, sf_dir)))
