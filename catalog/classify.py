@@ -146,6 +146,53 @@ def rule_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Modbus windows by all rules; of the other columns rules look at, DNP3 windows have the function codes' alone, OPC-UA none
+ALL_TYPED_SQL = "WITH " + WINDOWED_SQL + GAPS_SQL + f""",
+rows AS ({MODBUS_SQL}),
+others AS (
+  SELECT {GROUP_SQL}, max(payload_size) AS top,
+    CASE WHEN protocol = 'dnp3' THEN count_if(dnp3_code IN (2, 3, 4, 5, 6)) / count(*) END AS wr,
+    CASE WHEN protocol = 'dnp3' THEN count(DISTINCT dnp3_code) END AS codes
+  FROM windowed WHERE protocol <> 'modbus' GROUP BY {GROUP_SQL}),
+typed AS (
+  SELECT {KEY_SQL}, CASE
+    WHEN fc_write_ratio > 0.5 THEN 'command_injection'
+    WHEN exception_ratio > 0.10 OR exception_count > 10 THEN 'protocol_violation'
+    WHEN addr_unique_count > 100 OR unit_id_unique_count > 10 THEN 'unauthorized_access'
+    WHEN fc_read_ratio > 0.95 AND qty_mean > 50 THEN 'data_exfiltration'
+    WHEN fc_unique_count > 10 OR addr_range > 1000 OR fc_diagnostic_ratio > 0.5 THEN 'reconnaissance'
+    WHEN bytes_max > 1024 THEN 'volume_anomaly'
+    WHEN iat_std > 1.0 OR iat_max > 10 THEN 'timing_anomaly' ELSE 'unknown' END AS kind
+  FROM rows
+  UNION ALL
+  SELECT {KEY_SQL}, CASE WHEN wr > 0.5 THEN 'command_injection' WHEN codes > 10 THEN 'reconnaissance'
+    WHEN top > 1024 THEN 'volume_anomaly' WHEN iat_std > 1.0 OR iat_max > 10 THEN 'timing_anomaly' ELSE 'unknown' END
+  FROM others JOIN timing USING ({GROUP_SQL}))
+"""
+
+
+@query(ALL_TYPED_SQL + "SELECT * RENAME (kind AS rule_type) FROM typed")
+def rule_type_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule table on the windows of all protocols."""
+    return comparable(feature_rows(spark, sf_dir).select(*WINDOW, cl.rule_type().alias("rule_type")))
+
+
+@query(ALL_TYPED_SQL + """
+SELECT kind, CASE kind WHEN 'command_injection' THEN 'T0831 - Manipulation of Control'
+    WHEN 'protocol_violation' THEN 'T0855 - Unauthorized Command Message'
+    WHEN 'unauthorized_access' THEN 'T0821 - Modify Controller Tasking'
+    WHEN 'data_exfiltration' THEN 'T0882 - Theft of Operational Information'
+    WHEN 'reconnaissance' THEN 'T0846 - Remote System Discovery'
+    WHEN 'timing_anomaly' THEN 'T0882 - Theft of Operational Information' END AS technique, count(*) AS n
+FROM typed GROUP BY ALL""")
+def rule_technique_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As rule_technique, over the windows of all protocols."""
+    rows = feature_rows(spark, sf_dir).select(cl.rule_type().alias("kind"))
+    return comparable(
+        rows.groupBy("kind", cl.mitre_technique(F.col("kind")).alias("technique")).agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 @query(f"""
 WITH {ANOMALIES_SQL}
 SELECT anomaly_id,
