@@ -95,7 +95,11 @@ def mark_copies(
 def drop_copies(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", salts: int = SALTS, digest=_digest
 ) -> DataFrame:
-    """The rows of `docs` that mark_copies keeps, with all their columns."""
+    """One row of each class of equal texts, with all its columns.
+
+    It is one of those that mark_copies marks kept. Where these are several (rows repeated with an id, or a class with no
+    id at all), the last one in the order of the other columns' JSON stays; rows alike in all columns are one.
+    """
     classes, several = text_classes(docs, text, doc_id, salts, digest)
     key, content = free_name(docs, "digest__"), free_name(docs, "content__")
     keep, size = free_name(docs, "keep__"), free_name(docs, "size__")
@@ -107,4 +111,29 @@ def drop_copies(
     if several is not None:
         more = rows.withColumn(content, _content(text)).join(several.withColumnsRenamed(names), [key, content])
         kept = kept.unionByName(more.filter(same).drop(content))
-    return kept.select(*[pick(c) for c in docs.columns])
+    # only classes of several rows can keep several: found on digests alone, mostly there are none
+    repeated = stored(
+        kept.filter(F.col(size) > 1).select(F.spark_partition_id().alias("salt") % salts, key)
+        .toDF("salt", key).groupBy("salt", key).count()
+        .groupBy(key).agg(F.sum("count").alias("n")).filter("n > 1").select(key),
+        run_folder(docs.sparkSession) + "/repeated",
+    )
+    columns = [pick(c) for c in docs.columns]
+    if repeated.isEmpty():
+        return kept.select(*columns)
+    return kept.join(repeated, key, "left_anti").select(*columns).unionByName(
+        _one_each(kept.join(repeated, key, "left_semi"), docs.columns, key, text, salts)
+    )
+
+
+def _one_each(rows: DataFrame, columns: list[str], key: str, text: str, salts: int) -> DataFrame:
+    """One row per text, chosen in two steps like the winners."""
+    others = [pick(c).alias(f"c{n}") for n, c in enumerate(columns) if c != text]
+    order = F.to_json(F.struct(*others, pick(text).isNull().alias("t")), {"ignoreNullFields": "false"})
+    packed = rows.select(
+        (F.spark_partition_id() % salts).alias("salt"), F.col(key).alias("digest"), _content(text).alias("content"),
+        F.struct(*[pick(c) for c in columns]).alias("row"), order.alias("order"),
+    )
+    best = [F.max_by("row", "order").alias("row"), F.max("order").alias("order")]
+    salted = packed.groupBy("salt", "digest", "content").agg(*best)
+    return salted.groupBy("digest", "content").agg(*best).select("row.*")
