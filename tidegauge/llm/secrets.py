@@ -101,8 +101,12 @@ def scan(data: bytes, keywords: ahocorasick.Automaton) -> list[tuple[str, int, i
         kind, _, pattern, valid = RULES[rule]
         match = pattern.match(data, start)
         if match:
-            behind[rule] = match.end()
-            if valid(match):
+            right = valid(match)
+            # the contract of the base kinds drops short matches after a whole scan; of the others a match that fails
+            # its test is none, and may hide a right one that starts inside it
+            if right or kind in BASE_KINDS:
+                behind[rule] = match.end()
+            if right:
                 spans.append((kind, start, match.end()))
     if not spans:
         return spans
