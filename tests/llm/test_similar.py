@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from tidegauge.llm import minhash
 
@@ -43,3 +45,19 @@ def test_sketches_of_similar_pairs_stay_below_the_bound():
             a, b = (minhash.sketch(minhash.np.concatenate([core, draw(apart)])) for _ in range(2))
             assert sum(bin(x).count("1") for x in (a ^ b).view("uint64").tolist()) <= most
     assert minhash.sketch_apart((85, 100)) <= 47 < minhash.sketch_apart((80, 100)) < minhash.sketch_apart((70, 100))
+
+
+def test_keys_follow_the_threshold(docs_of):
+    missed = lambda s, n: 1 - (1 - (1 - s**minhash.ROWS) ** n) ** 2
+    for part in (85, 80, 70, 60, 50):
+        assert missed(part / 100, minhash.keys_a_side((part, 100))) <= minhash.TABLE_MISSES
+    assert minhash.keys_a_side((85, 100)) == 12 and minhash.keys_a_side((80, 100)) == 16
+    for bad in ((20, 100), (0, 100), (101, 100)):
+        with pytest.raises(ValueError):
+            minhash.near_groups(docs_of([]), similar=bad)
+
+
+def test_a_lower_threshold_finds_its_pairs(docs_of):
+    rows = texts_between(0.60, 0.65, 404, 92)
+    kept = minhash.drop_near_copies(docs_of(rows), similar=(60, 100)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i, _ in rows if i % 2 == 0]

@@ -1,8 +1,9 @@
 """Near-duplicates by MinHash with tensored tables, confirmed on whole shingle sets.
 
-Two collections of COLLECTION keys, each made of ROWS minimum hashes, give COLLECTION**2 tables: table (i, j) has the
-key (left i, right j). So 2 * 12 * 3 = 72 minimum hashes do the work of 144 tables with 6 rows each, which would take 864.
-Two texts of similarity s meet in a table with probability (1 - (1 - s**3)**12)**2: all but 0.002 % at 0.85.
+Two collections of n keys, each made of ROWS minimum hashes, give n**2 tables: table (i, j) has the key (left i, right j).
+So 2 * 12 * 3 = 72 minimum hashes do the work of 144 tables with 6 rows each, which would take 864. Two texts of similarity
+s meet in a table with probability (1 - (1 - s**3)**n)**2; n follows the threshold so that all but 0.002 % of the pairs
+that are just similar do: 12 at 0.85, 16 at 0.8.
 
 1. Texts become sets of 64-bit shingle hashes; equal sets are one representative from here on.
 2. Halves of keys that no other representative has are dropped, the rest combine into the tables' keys.
@@ -16,7 +17,7 @@ Two texts of similarity s meet in a table with probability (1 - (1 - s**3)**12)*
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import comb
 from operator import add
@@ -32,7 +33,8 @@ from tidegauge.llm.common import give_back, pick, run_folder, stored, utf8, word
 from tidegauge.llm.graph import components
 
 SHINGLE = 5
-COLLECTION = 12  # keys on either side
+TABLE_MISSES = 2.5e-5  # share of just similar pairs that may meet in no table
+MOST_KEYS = 100  # on either side; enough from similarity 0.5 on
 ROWS = 3  # minimum hashes in half a key
 SIMILAR = (85, 100)  # intersection to union, at least
 ASKING_ROUNDS = 4
@@ -47,7 +49,7 @@ _CHUNK = 2048
 
 _RNG = np.random.Generator(np.random.PCG64(20240101))
 _ODD = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_HASHES = 2 * COLLECTION * ROWS
+_HASHES = 2 * MOST_KEYS * ROWS  # hash functions of keys; those of the sketch follow
 _FACTOR = _RNG.integers(0, 1 << 63, (_HASHES + SKETCH_BITS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, (_HASHES + SKETCH_BITS, 1), dtype=np.uint64)
 
@@ -92,10 +94,19 @@ def minima(hashes: np.ndarray, first: int, count: int) -> np.ndarray:
     return least
 
 
+def keys_a_side(similar: tuple[int, int]) -> int:
+    """The fewest keys on either side that leave at most TABLE_MISSES of the pairs that are just similar apart."""
+    part, whole = similar
+    for n in range(1, MOST_KEYS + 1):
+        if 0 < part <= whole and 1 - (1 - (1 - (part / whole) ** ROWS) ** n) ** 2 <= TABLE_MISSES:
+            return n
+    raise ValueError(f"similar = {similar}: not a share, or one too low for {MOST_KEYS} keys to find")
+
+
 def half_keys(least: np.ndarray) -> np.ndarray:
     """Rows of minimum hashes to rows of half keys, each of which names its place in the collections."""
-    parts = least.reshape(len(least), 2 * COLLECTION, ROWS)
-    keys = np.arange(2 * COLLECTION, dtype=np.uint64) * _ODD[8]
+    parts = least.reshape(len(least), least.shape[1] // ROWS, ROWS)
+    keys = np.arange(parts.shape[1], dtype=np.uint64) * _ODD[8]
     for n in range(ROWS):
         keys = keys + parts[:, :, n] * _ODD[9 + n]
     return _mixed(keys).view(np.int64)
@@ -132,21 +143,26 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Words()
-    for batch in batches:
-        sizes, digests, least = [], [], []
-        for data in batch.column(1):
-            found = shingles(data.as_py(), known)
-            sizes.append(len(found))
-            digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            least.append(minima(found, 0, _HASHES))
-        keys = half_keys(np.array(least, dtype=np.uint64).reshape(-1, _HASHES))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(list(keys))],
-            names=["doc_id", "n_shingles", "digest", "halves"],
-        )
-    give_back()
+def _described(n_keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    hashes = 2 * n_keys * ROWS
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            sizes, digests, least = [], [], []
+            for data in batch.column(1):
+                found = shingles(data.as_py(), known)
+                sizes.append(len(found))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                least.append(minima(found, 0, hashes))
+            keys = half_keys(np.array(least, dtype=np.uint64).reshape(-1, hashes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(list(keys))],
+                names=["doc_id", "n_shingles", "digest", "halves"],
+            )
+        give_back()
+
+    return describe
 
 
 _DESCRIBED = "doc_id long, n_shingles long, digest binary, halves array<long>"
@@ -180,13 +196,13 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(rows.groupBy(key).count().filter("count > 1").select(key), key, "left_semi")
 
 
-def _buckets(reps: DataFrame, folder: str) -> DataFrame:
+def _buckets(reps: DataFrame, n_keys: int, folder: str) -> DataFrame:
     """(key, rep): members of the tables' buckets with at least two."""
     halves = reps.select(F.col("doc_id").alias("rep"), F.posexplode("halves").alias("slot", "half"))
     sides = stored(
         _shared(halves, "half").groupBy("rep").agg(
-            F.collect_set(F.when(F.col("slot") < COLLECTION, F.col("half"))).alias("left"),
-            F.collect_set(F.when(F.col("slot") >= COLLECTION, F.col("half"))).alias("right"),
+            F.collect_set(F.when(F.col("slot") < n_keys, F.col("half"))).alias("left"),
+            F.collect_set(F.when(F.col("slot") >= n_keys, F.col("half"))).alias("right"),
         ),
         f"{folder}/sides",
     )
@@ -283,15 +299,17 @@ def near_groups(
     Texts are linked if part / whole of their shingles agree (`similar`, confirmed on the whole sets). Null, empty and
     wordless texts have no shingles and stay alone. Ids are whole numbers. Rows without an id stay alone too, with a null
     component, and are kept. Rows repeated with an id share its component; with different texts they join the groups of
-    all of them. Other columns are not read; an empty table gives no rows.
+    all of them. Other columns are not read; an empty table gives no rows. The lower `similar`, the more tables: 144 at 0.85,
+    256 at 0.8; ValueError where MOST_KEYS are too few.
     """
+    n_keys = keys_a_side(similar)
     folder = run_folder(docs.sparkSession) + "/near"
     rows = docs.select(pick(doc_id).cast("long").alias("doc_id"), utf8(text).alias("data"))
-    described = stored(rows.mapInArrow(_described, _DESCRIBED), f"{folder}/described")
+    described = stored(rows.mapInArrow(_described(n_keys), _DESCRIBED), f"{folder}/described")
     full = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    buckets = _buckets(reps, folder)
+    buckets = _buckets(reps, n_keys, folder)
     members = buckets.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
     sets = stored(rows.join(members, "doc_id", "left_semi").mapInArrow(_whole_sets, _WHOLE_SETS), f"{folder}/sets")
     labels = _labels(buckets, sets, similar, folder)
