@@ -9,7 +9,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, exact_dedup, licenses, lm_score, minhash, packing, secrets, token_counts, toxicity, warc
+from tidegauge.llm import (
+    clusters, decontaminate, exact_dedup, licenses, lm_score, minhash, packing, secrets, token_counts, toxicity, warc, whitening,
+)
 from tidegauge.llm.common import in_hash_share
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +167,39 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("s")).alias("spans"),
     )
+
+
+def _clusters_sql() -> str:
+    """Ten rounds in longs, one pair of tables a round."""
+    squared = "list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, 65)])"
+    parts = ["""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, [CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT) FOR y IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len([y FOR y IN embedding IF isfinite(y)]) = 64)""",
+    """c0 AS MATERIALIZED (
+  SELECT place - 1 AS k, x AS c
+  FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) AS place FROM kept)
+  WHERE place <= 8)"""]
+    nearest = lambda n: f"""a{n} AS MATERIALIZED (
+  SELECT row_id, any_value(vec_id) AS vec_id, any_value(x) AS x, min((d, k)) AS best
+  FROM (SELECT row_id, vec_id, x, k, CAST({squared} AS BIGINT) AS d FROM kept, c{n}) GROUP BY row_id)"""
+    for n in range(clusters.ROUNDS):
+        parts += [nearest(n), f"""m{n} AS MATERIALIZED (
+  SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+  FROM (SELECT best[2] AS k, i, sum(x[i]) AS s, count(*) AS n FROM a{n}, range(1, 65) AS r(i) GROUP BY best[2], i)
+  GROUP BY k)""", f"c{n + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m USING (k))"]
+    last = clusters.ROUNDS
+    return f"""WITH {", ".join([*parts, nearest(last)])}
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance,
+       CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON k = best[2]"""
+
+
+@query(_clusters_sql())
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
