@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import (
-    clusters, decontaminate, exact_dedup, licenses, lm_score, minhash, packing, secrets, token_counts, toxicity, warc, whitening,
+    clusters, decontaminate, exact_dedup, licenses, lm_score, minhash, packing, repeats, secrets, token_counts, toxicity, warc,
+    whitening,
 )
 from tidegauge.llm.common import in_hash_share
 
@@ -169,6 +170,31 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS MATERIALIZED (
+  SELECT row_id, at, md5(substring(h, 2 * at + 1, 400)) AS s FROM texts, range(0, length(h) // 2 - 199) AS r(at)),
+many AS (SELECT s FROM places GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT row_id, at FROM places WHERE s IN (FROM many)),
+runs AS (
+  SELECT row_id, min(at) AS a, max(at) + 200 AS b
+  FROM (SELECT row_id, at, sum(new) OVER (PARTITION BY row_id ORDER BY at) AS run
+        FROM (SELECT row_id, at, CASE WHEN at - lag(at) OVER (PARTITION BY row_id ORDER BY at) <= 200 THEN 0 ELSE 1 END AS new
+              FROM hits))
+  GROUP BY row_id, run),
+spans AS (SELECT row_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops, sum(b - a) AS gone FROM runs GROUP BY row_id),
+cut AS (
+  SELECT doc_id, h, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(len(starts), 0) AS n_spans,
+         list_prepend(0, coalesce(stops, [])) AS f, list_append(coalesce(starts, []), length(h) // 2) AS t
+  FROM texts LEFT JOIN spans USING (row_id))
+SELECT doc_id, n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string([substring(h, 2 * f[i] + 1, 2 * (t[i] - f[i])) FOR i IN range(1, len(f) + 1)], '')))
+         AS kept_sha256
+FROM cut""")
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def _clusters_sql() -> str:
     """Ten rounds in longs, one pair of tables a round."""
     squared = "list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, 65)])"
