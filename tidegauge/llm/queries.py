@@ -173,13 +173,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 places AS MATERIALIZED (
-  SELECT row_id, at, md5(substring(h, 2 * at + 1, 400)) AS s FROM texts, range(0, length(h) // 2 - 199) AS r(at)),
+  SELECT row_id, place, md5(substring(h, 2 * place + 1, 400)) AS s FROM texts, range(0, length(h) // 2 - 199) AS r(place)),
 many AS (SELECT s FROM places GROUP BY s HAVING count(*) > 1),
-hits AS (SELECT row_id, at FROM places WHERE s IN (FROM many)),
+hits AS (SELECT row_id, place FROM places WHERE s IN (FROM many)),
 runs AS (
-  SELECT row_id, min(at) AS a, max(at) + 200 AS b
-  FROM (SELECT row_id, at, sum(new) OVER (PARTITION BY row_id ORDER BY at) AS run
-        FROM (SELECT row_id, at, CASE WHEN at - lag(at) OVER (PARTITION BY row_id ORDER BY at) <= 200 THEN 0 ELSE 1 END AS new
+  SELECT row_id, min(place) AS a, max(place) + 200 AS b
+  FROM (SELECT row_id, place, sum(new) OVER (PARTITION BY row_id ORDER BY place) AS run
+        FROM (SELECT row_id, place, CASE WHEN place - lag(place) OVER (PARTITION BY row_id ORDER BY place) <= 200 THEN 0 ELSE 1 END AS new
               FROM hits))
   GROUP BY row_id, run),
 spans AS (SELECT row_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops, sum(b - a) AS gone FROM runs GROUP BY row_id),
