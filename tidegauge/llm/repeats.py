@@ -31,7 +31,7 @@ from tidegauge.llm.common import free_name, give_back, pick, run_folder, stored,
 
 LENGTH = 200
 CORE = 64
-LIMIT = 4096  # occurrences of a core whose pieces a task may hold
+LIMIT = 50_000  # occurrences of a core whose pieces a task may hold, some 20 MB; copies of a text count once
 SALTS = 8
 _CHUNK = 1 << 20  # strings hashed at a time
 _PLACE = np.uint64((1 << 24) - 1)
@@ -428,15 +428,15 @@ def _text_key(data: Column) -> Column:
 
 
 def _chosen(rows: DataFrame, limit: int) -> DataFrame:
-    """Per key the cores that occur more than once: `cores`, up to `limit` times, and `split`, more often."""
+    """Per key the cores that occur more than once: `cores`, in up to `limit` places of distinct texts, and `split`, in more."""
     each = rows.select("key", "n", F.explode(F.arrays_zip("cores", "times")).alias("z")).select(
-        "key", F.col("z.cores").alias("core"), (F.col("n") * F.col("z.times")).alias("times")
+        "key", "n", F.col("z.cores").alias("core"), F.col("z.times").alias("times")
     )
-    many = each.groupBy("core").agg(F.sum("times").alias("total")).filter("total > 1")
-    found = each.select("key", "core").join(many, "core")
+    many = each.groupBy("core").agg(F.sum(F.col("n") * F.col("times")).alias("total"), F.sum("times").alias("pieces"))
+    found = each.select("key", "core").join(many.filter("total > 1").select("core", "pieces"), "core")
     return found.groupBy("key").agg(
-        F.collect_set(F.when(F.col("total") <= limit, F.col("core"))).alias("cores"),
-        F.collect_set(F.when(F.col("total") > limit, F.col("core"))).alias("split"),
+        F.collect_list(F.when(F.col("pieces") <= limit, F.col("core"))).alias("cores"),
+        F.collect_list(F.when(F.col("pieces") > limit, F.col("core"))).alias("split"),
     )
 
 
@@ -451,7 +451,10 @@ class _Corpus:
         rows = docs.select(pick(doc_id).alias("doc_id"), utf8(text).alias("data"))
         schema = f"doc_id {self.kind}, digest binary, n_bytes long, cores array<long>, times array<long>"
         self.rows = stored(rows.mapInArrow(_sketched(self.sizes), schema), f"{self.folder}/rows")
-        found = _chosen(self.rows.select(F.substring("digest", 1, 16).alias("key"), F.lit(1).alias("n"), "cores", "times"), limit)
+        distinct = self.rows.groupBy(F.substring("digest", 1, 16).alias("key")).agg(
+            F.count("*").alias("n"), F.first("cores").alias("cores"), F.first("times").alias("times")
+        )
+        found = _chosen(stored(distinct, f"{self.folder}/distinct"), limit)
         found = stored(found, f"{self.folder}/cores-0")
         folded = rows.groupBy(_text_key(F.col("data")).alias("key")).agg(F.first("data").alias("data"), F.count("*").alias("n"))
         texts = folded.join(found, "key").select("key", "n", "data", F.array().cast("array<array<long>>").alias("hot"), "cores", "split")
