@@ -18,6 +18,7 @@ from catalog.views import (
 )
 from tidegauge.operators import correlate as co
 from tidegauge.operators import dedup, escalate, lifecycle
+from tidegauge.plans import jobs
 
 AS_OF = 1706659200  # 2024-01-31
 
@@ -177,6 +178,85 @@ def multi_target_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CONTROLLED_SQL = f"""
+WITH RECURSIVE {ANOMALIES_SQL},
+kept AS (
+  SELECT *, src_ip || ':' || protocol AS correlation_key,
+         src_ip || ':' || dst_ip || ':' || protocol || ':' || coalesce(anomaly_type, 'None') AS dedup_key,
+         CASE WHEN ensemble_score >= 0.9 THEN 'critical' WHEN ensemble_score >= 0.7 THEN 'medium'
+              WHEN classification = 'critical' THEN 'critical'
+              WHEN classification = 'anomaly' THEN 'medium' ELSE 'low' END AS severity
+  FROM anomalies WHERE classification <> 'normal'),
+closures AS (SELECT DISTINCT correlation_key, detected_s AS closed_s FROM kept WHERE severity = 'critical'
+             AND anomaly_type = 'reconnaissance'),
+eras AS (
+  SELECT k.*, (SELECT count(*) FROM closures c WHERE c.correlation_key = k.correlation_key
+               AND c.closed_s < k.detected_s) AS era FROM kept k),
+steps AS (
+  SELECT *, detected_s - lag(detected_s) OVER (
+    PARTITION BY correlation_key, era ORDER BY detected_s, anomaly_id) AS step FROM eras),
+runs AS (
+  SELECT *, sum(CASE WHEN step IS NULL OR step > {GAP_S} THEN 1 ELSE 0 END) OVER (
+    PARTITION BY correlation_key, era ORDER BY detected_s, anomaly_id) AS run FROM steps),
+numbered_runs AS (
+  SELECT *, min(detected_s) OVER (PARTITION BY correlation_key, era, run) AS started_s,
+         row_number() OVER (PARTITION BY correlation_key, era, run ORDER BY detected_s, anomaly_id) AS incident_seq,
+         row_number() OVER (PARTITION BY correlation_key, era, run, dst_ip ORDER BY detected_s, anomaly_id) AS of_target
+  FROM runs),
+released AS (SELECT dedup_key, detected_s + 900 AS released_s FROM kept WHERE severity = 'medium'),
+ends AS (
+  SELECT DISTINCT c.dedup_key, c.detected_s,
+         least(c.detected_s + {TTL_S}, coalesce(
+           (SELECT CASE WHEN count(*) > 0 THEN greatest(c.detected_s + 1, min(released_s)) END
+            FROM released r WHERE r.dedup_key = c.dedup_key AND r.released_s >= c.detected_s),
+           c.detected_s + {TTL_S})) AS lock_end
+  FROM kept c),
+passed(dedup_key, hit_s, lock_end) AS (
+  SELECT dedup_key, min(detected_s), arg_min(lock_end, detected_s) FROM ends GROUP BY dedup_key
+  UNION ALL
+  SELECT p.dedup_key, min(e.detected_s), arg_min(e.lock_end, e.detected_s)
+  FROM passed p JOIN ends e ON e.dedup_key = p.dedup_key AND e.detected_s >= p.lock_end
+  GROUP BY p.dedup_key),
+first_of AS (
+  SELECT c.dedup_key, c.detected_s, min(anomaly_id) AS anomaly_id
+  FROM kept c JOIN passed p ON c.dedup_key = p.dedup_key AND c.detected_s = p.hit_s GROUP BY c.dedup_key, c.detected_s),
+marked AS (
+  SELECT n.*, f.anomaly_id IS NULL AS suppressed,
+         sum(CASE WHEN of_target = 1 THEN 1 ELSE 0 END) OVER (
+           PARTITION BY n.correlation_key, era, run ORDER BY n.detected_s, n.anomaly_id) AS targets
+  FROM numbered_runs n LEFT JOIN first_of f USING (dedup_key, detected_s, anomaly_id))"""
+
+
+@query(f"""{CONTROLLED_SQL}
+SELECT anomaly_id, left(sha256(correlation_key || '|' || started_s || '|0'), 32) AS incident_id,
+       CAST(incident_seq AS BIGINT) AS incident_seq, suppressed,
+       'P' || min(CASE WHEN suppressed THEN 4 ELSE least(
+           CASE WHEN incident_seq >= 20 THEN 1 WHEN incident_seq >= 10 THEN 2 WHEN incident_seq >= 5 THEN 3 ELSE 4 END,
+           CASE WHEN severity = 'critical' THEN 2 ELSE 4 END, CASE WHEN targets >= 3 THEN 2 ELSE 4 END) END)
+         OVER (PARTITION BY correlation_key, era, run ORDER BY detected_s, anomaly_id) AS priority
+FROM marked""")
+def alerting_with_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts keyed by source and protocol, with acknowledged alerts and closed incidents.
+
+    Medium alerts are acknowledged after 15 minutes; critical reconnaissance resolves the incident it is in. Several
+    targets can fall into one incident, so the rule on them fires.
+    """
+    keys = ("src_ip", "protocol")
+    found = anomalies(spark, sf_dir)
+    plain = co.to_alerts(co.correlate(co.drop_normal(found), GAP_S, keys))
+    acknowledged = plain.filter(F.col("severity") == "medium").select(
+        F.col("alert_id").alias("id"), F.lit("acknowledged").alias("status"), (F.col("detected_s") + 900).alias("at_s")
+    )
+    resolved = plain.filter((F.col("severity") == "critical") & (F.col("anomaly_type") == "reconnaissance")).select(
+        F.col("incident_id").alias("id"), F.lit("resolved").alias("status"), F.col("detected_s").alias("at_s")
+    )
+    handled_alerts, _, _ = jobs.alerting(
+        found, GAP_S, TTL_S, key_columns=keys,
+        releases=lifecycle.releases_of(acknowledged, plain), closures=lifecycle.closures_of(resolved, plain),
+    )
+    return comparable(handled_alerts.select("anomaly_id", "incident_id", "incident_seq", "suppressed", "priority"))
+
+
 TITLE_SQL = """
   CASE WHEN anomaly_type IS NULL OR anomaly_type = 'unknown'
        THEN upper(left(classification, 1)) || substr(classification, 2) || ' ' || upper(protocol)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from catalog import views
 from tidegauge.operators import correlate as co
-from tidegauge.operators import dedup, features, prep
+from tidegauge.operators import dedup, features, lifecycle, prep
 from tidegauge.plans import jobs
 from tidegauge.streaming import stateful, windows
 
@@ -32,6 +36,16 @@ def in_files(spark, frame, folder, order, parts=4):
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def with_end(stream, spark, frame, folder, time, **values):
+    """The stream with one row of a key of its own far in the future, which moves the watermark past all others."""
+    known = {time: 1 << 33, **values}
+    row = spark.range(1).select(*[
+        F.lit(known.get(f.name)).cast(f.dataType).alias(f.name) for f in frame.schema.fields
+    ])
+    row.coalesce(1).write.mode("append").parquet(folder)
+    return stream
+
+
 def run(stream, folder, mode="append"):
     query = (
         stream.writeStream.outputMode(mode).format("parquet")
@@ -114,7 +128,8 @@ def test_feature_stream_puts_late_rows_aside_and_repeats_safely(spark, folder):
 
 def test_suppression_stream_equals_table(spark, folder):
     alerts = co.to_alerts(co.correlate(co.drop_normal(views.anomalies(spark, SF)), views.GAP_S))
-    stream = in_files(spark, alerts.select(*stateful.ALERT_COLUMNS), folder + "/in", "detected_s")
+    rows = alerts.select(*stateful.ALERT_COLUMNS)
+    stream = with_end(in_files(spark, rows, folder + "/in", "detected_s"), spark, rows, folder + "/in", "detected_s", dedup_key="end")
     found = run(stateful.stream_suppress(stream, 30000), folder)
     got = rows_of(spark, found, "anomaly_id", "suppressed")
     expected = rows_of(spark, dedup.suppress_duplicates(alerts, 30000), "anomaly_id", "suppressed")
@@ -124,6 +139,8 @@ def test_suppression_stream_equals_table(spark, folder):
 def test_alerting_stream_equals_table(spark, folder):
     anomalies = views.anomalies(spark, SF)
     stream = in_files(spark, anomalies, folder + "/in", "detected_s")
+    end = {"src_ip": "end", "classification": "critical"}
+    stream = with_end(stream, spark, anomalies, folder + "/in", "detected_s", **end)
     found = run(stateful.stream_alerting(stream, 86400, 30000), folder)
     columns = ("anomaly_id", "incident_id", "incident_seq", "suppressed", "priority")
     alerts, _, events = jobs.alerting(anomalies, 86400, 30000)
@@ -140,12 +157,120 @@ def test_sequence_stream_equals_table(spark, folder):
     frame = spark.createDataFrame(
         rows, "src_ip string, dst_ip string, protocol string, window_size int, window_start bigint, scaled array<double>"
     )
-    found = run(stateful.stream_sequences(in_files(spark, frame, folder + "/in", "window_start"), 4), folder)
+    stream = in_files(spark, frame, folder + "/in", "window_start")
+    with_end(stream, spark, frame, folder + "/in", "window_start", src_ip="end")
+    found = run(stateful.stream_sequences(stream, 4), folder)
     got = {r.window_start: r.sequence for r in spark.read.parquet(folder + "/out").collect()}
     expected = {r.window_start: r.sequence for r in prep.rolling_sequences(frame, 4).collect()}
     assert got == expected and found is not None
 
 
+def shuffled_files(spark, frames, time, jitter, parts=6):
+    """Each frame as files by time of arrival, up to `jitter` seconds after the event and in another order; one stream each."""
+    drawn = lambda f: F.xxhash64(*[c for c, kind in f.dtypes if not kind.startswith("map")])
+    late = [f.withColumn("arrival", F.col(t) + F.pmod(drawn(f), F.lit(jitter + 1))) for f, t in zip(frames, time)]
+    edges = late[0].approxQuantile("arrival", [i / parts for i in range(1, parts)], 0.0)
+    streams = []
+    for n, (frame, rows) in enumerate(zip(frames, late)):
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp") + f"/in-{n}"
+        for low, high in zip([None, *edges], [*edges, None]):
+            part = rows if low is None else rows.filter(F.col("arrival") > low)
+            part = part if high is None else part.filter(F.col("arrival") <= high)
+            part.drop("arrival").orderBy(drawn(frame)).coalesce(1).write.mode("append").parquet(folder)
+        streams.append((spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder), folder))
+    return streams
+
+
+def controlled(spark):
+    """Anomalies keyed by source and protocol, acknowledged alerts and closed incidents."""
+    keys = ("src_ip", "protocol")
+    anomalies = views.anomalies(spark, SF)
+    plain = co.to_alerts(co.correlate(co.drop_normal(anomalies), 43200, keys)).persist()
+    acknowledged = plain.filter("severity = 'medium'").select(
+        F.col("alert_id").alias("id"), F.lit("acknowledged").alias("status"), (F.col("detected_s") + 900).alias("at_s"))
+    closed = plain.filter("severity = 'critical'").select(
+        F.col("incident_id").alias("id"), F.lit("resolved").alias("status"), F.col("detected_s").alias("at_s"))
+    releases = lifecycle.releases_of(acknowledged, plain)
+    closures = lifecycle.closures_of(closed, plain)
+    return keys, anomalies.persist(), releases.persist(), closures.persist()
+
+
+def test_alerting_with_control_events_in_shuffled_arrival_equals_table(spark, folder):
+    keys, anomalies, releases, closures = controlled(spark)
+    streams = shuffled_files(spark, [anomalies, releases, closures], ["detected_s", "released_s", "closed_s"], 7200)
+    with_end(streams[0][0], spark, anomalies, streams[0][1], "detected_s", src_ip="end", classification="critical")
+    found = stateful.stream_alerting(
+        streams[0][0], 43200, 30000, key_columns=keys, lateness_s=7200, releases=streams[1][0], closures=streams[2][0]
+    )
+    run(found, folder)
+    columns = ("anomaly_id", "incident_id", "incident_seq", "suppressed", "priority")
+    alerts, _, events = jobs.alerting(anomalies, 43200, 30000, key_columns=keys, releases=releases, closures=closures)
+    out = spark.read.parquet(folder + "/out")
+    assert out.filter("late").count() == 0
+    assert rows_of(spark, out, *columns) == rows_of(spark, alerts, *columns)
+    changed = out.filter("old_priority <> priority")
+    assert rows_of(spark, changed, "incident_id", "anomaly_id", "old_priority", "priority") == rows_of(
+        spark, events, "incident_id", "anomaly_id", "old_priority", "new_priority"
+    )
+    # the controls matter, and the rule on several targets fires
+    without, _, _ = jobs.alerting(anomalies, 43200, 30000, key_columns=keys)
+    assert rows_of(spark, without, *columns) != rows_of(spark, alerts, *columns)
+    assert {r.new_priority for r in events.collect()} >= {"P2", "P3"}
+
+
+def test_shuffled_suppression_with_releases_equals_table(spark, folder):
+    _, anomalies, releases, _ = controlled(spark)
+    alerts = co.to_alerts(co.correlate(co.drop_normal(anomalies), views.GAP_S)).select(*stateful.ALERT_COLUMNS)
+    freed = releases.select("dedup_key", "released_s").distinct()
+    streams = shuffled_files(spark, [alerts, freed], ["detected_s", "released_s"], 5000)
+    with_end(streams[0][0], spark, alerts, streams[0][1], "detected_s", dedup_key="end")
+    run(stateful.stream_suppress(streams[0][0], 30000, 5000, streams[1][0]), folder)
+    expected = rows_of(spark, dedup.suppress_duplicates(alerts, 30000, releases=freed), "anomaly_id", "suppressed")
+    assert rows_of(spark, folder + "/out", "anomaly_id", "suppressed") == expected and any(s for _, s in expected)
+
+
+def test_shuffled_sequences_with_idle_series_equal_table(spark, folder):
+    rng = np.random.default_rng(2)
+    rows = [("a" if i % 3 else "c", "b", "modbus", 60, 60 * i + (4000 if i > 40 else 0), rng.normal(0, 1, 2).tolist()) for i in range(80)]
+    frame = spark.createDataFrame(
+        rows, "src_ip string, dst_ip string, protocol string, window_size int, window_start bigint, scaled array<double>"
+    )
+    ((stream, at),) = shuffled_files(spark, [frame], ["window_start"], 300)
+    with_end(stream, spark, frame, at, "window_start", src_ip="end")
+    run(stateful.stream_sequences(stream, 5, 300, idle_s=1000), folder)
+    got = {r.window_start: r.sequence for r in spark.read.parquet(folder + "/out").collect()}
+    expected = {r.window_start: r.sequence for r in prep.rolling_sequences(frame, 5, idle_s=1000).collect()}
+    assert got == expected
+    assert expected != {r.window_start: r.sequence for r in prep.rolling_sequences(frame, 5).collect()}
+
+
+def test_late_alerts_go_to_a_table_of_their_own_and_state_falls_back(spark, folder):
+    schema = "alert_id string, anomaly_id bigint, detected_s bigint, correlation_key string, dedup_key string, severity string, ensemble_score double, src_ip string, dst_ip string"
+    row = lambda i, at, key: (f"a{i}", i, at, key, key, "low", 0.5, "s", "d")
+    batches = [
+        [row(i, 100 + i, f"k{i}") for i in range(200)],
+        [row(500, 100_000, "other"), row(501, 350, "k7")],
+        [row(502, 90, "k3"), row(503, 200_000, "other"), row(504, None, "k3")],
+        [row(505, 300_000, "other")],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    sink = stateful.LateSplit(folder + "/split")
+    held = []
+    query = (
+        stateful.stream_suppress(stream, 60, 50).writeStream.foreachBatch(sink)
+        .option("checkpointLocation", folder + "/cp").trigger(availableNow=True).start()
+    )
+    query.awaitTermination(300)
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in map(json.loads, [p.json for p in query.recentProgress])]
+    assert [r.anomaly_id for r in sink.late(spark).orderBy("anomaly_id").collect()] == [502, 504]
+    done = {r.anomaly_id: r.suppressed for r in sink.in_time(spark).collect()}
+    assert set(done) == {*range(200), 500, 501, 503} and not any(done.values())  # 505 is held: nothing is newer
+    assert max(held) > 200 and held[-1] <= 12, held
+
+
 @pytest.mark.parametrize("progress", [{"stateOperators": [{"numRowsTotal": 3, "numRowsDroppedByWatermark": 1}]}, {}])
 def test_progress(progress):
     stats = stateful.progress_stats(progress)

@@ -86,9 +86,8 @@ def correlate(
         ).alias("before"),
     )
     numbered = Window.partitionBy(*place).orderBy("detected_s", "anomaly_id")
-    identity = F.concat_ws(
-        "|", "correlation_key", F.col("incident_started_s").cast("string"), F.col("era").cast("string")
-    )
+    # incidents of a key share no second, so their start names them
+    identity = F.concat_ws("|", "correlation_key", F.col("incident_started_s").cast("string"), F.lit("0"))
     return (
         keyed.join(pieces, place)
         .withColumn("incident_seq", F.col("before") + F.row_number().over(numbered))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+RELEASING = ("acknowledged", "resolved")  # fixed values: states of an alert that end its lock
+
 
 def apply_status(
     table: DataFrame, updates: DataFrame, id_column: str, moves_updated: bool = False
@@ -28,6 +30,27 @@ def apply_status(
     return joined.drop("new_status", "status_at_s"), missing
 
 
+def releases_of(updates: DataFrame, alerts: DataFrame) -> DataFrame:
+    """`correlation_key, dedup_key, released_s`: alerts that were acknowledged or resolved free their key for new ones.
+
+    `updates(id, status, at_s)` name alerts; unknown ids release nothing. Alerts meet their updates by id, so no key is hot.
+    """
+    freeing = updates.filter(F.col("status").isin(*RELEASING)).select(
+        F.col("id").alias("alert_id"), F.col("at_s").cast("bigint").alias("released_s")
+    )
+    keys = alerts.select("alert_id", "correlation_key", "dedup_key")
+    return freeing.join(keys, "alert_id").select("correlation_key", "dedup_key", "released_s").distinct()
+
+
+def closures_of(updates: DataFrame, incidents: DataFrame) -> DataFrame:
+    """`correlation_key, closed_s`: an incident that is no longer active takes no more alerts."""
+    closing = updates.filter(F.col("status") != "active").select(
+        F.col("id").alias("incident_id"), F.col("at_s").cast("bigint").alias("closed_s")
+    )
+    keys = incidents.select("incident_id", "correlation_key").distinct()
+    return closing.join(keys, "incident_id").select("correlation_key", "closed_s").distinct()
+
+
 def list_alerts(
     alerts: DataFrame, status: str | None = None, severity: str | None = None, limit: int = 50
 ) -> DataFrame:

@@ -133,19 +133,27 @@ def _padded(sequence: Column, length: int) -> Column:
 
 
 def rolling_sequences(
-    df: DataFrame, length: int = SEQUENCE_LENGTH, pad: bool = True, mix_sizes: bool = False
+    df: DataFrame, length: int = SEQUENCE_LENGTH, pad: bool = True, mix_sizes: bool = False,
+    idle_s: int | None = None,
 ) -> DataFrame:
     """`sequence`: the last vectors of the flow up to this window, zeros on the left if few.
 
     One vector per flow, size and window goes in, so a flow has as many rows as windows,
-    whatever its traffic. `mix_sizes` puts all window sizes of a flow into one sequence.
+    whatever its traffic. `mix_sizes` puts all window sizes of a flow into one sequence. A flow
+    that was silent for more than `idle_s` starts anew.
     """
-    back = (
-        Window.partitionBy(*_series(mix_sizes))
-        .orderBy(*_order(mix_sizes))
-        .rowsBetween(-(length - 1), Window.currentRow)
-    )
-    rows = df.withColumn("sequence", F.collect_list("scaled").over(back))
+    series, rows = _series(mix_sizes), df
+    if idle_s is not None:
+        run = "run__"
+        along = Window.partitionBy(*series).orderBy(*_order(mix_sizes))
+        silent = F.col("window_start") - F.lag("window_start").over(along) > idle_s
+        rows = df.withColumn(run, F.coalesce(silent, F.lit(False)).cast("int"))
+        rows = rows.withColumn(run, F.sum(run).over(along))
+        series = [*series, run]
+    back = Window.partitionBy(*series).orderBy(*_order(mix_sizes)).rowsBetween(-(length - 1), Window.currentRow)
+    rows = rows.withColumn("sequence", F.collect_list("scaled").over(back))
+    if idle_s is not None:
+        rows = rows.drop(run)
     if pad:
         return rows.withColumn("sequence", _padded(F.col("sequence"), length))
     return rows.filter(F.size("sequence") == length)

@@ -136,14 +136,16 @@ def score_features(rows: DataFrame, artifacts: Artifacts) -> DataFrame:
 def alerting(
     anomalies: DataFrame, gap_s: int = co.GAP_S, ttl_s: int = dedup.TTL_S,
     rules: escalate.Escalation = escalate.Escalation(), key_columns: Sequence[str] = FLOW,
-    store: str | None = None,
+    store: str | None = None, releases: DataFrame | None = None, closures: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Anomalies to alerts (with `suppressed` and `priority`), incidents and escalations.
 
-    With `store` the handled alerts are written once and all three results read them.
+    `releases(dedup_key, released_s)` free keys and `closures(correlation_key, closed_s)` end incidents before their time
+    (`lifecycle.releases_of`, `closures_of`). With `store` the handled alerts are written once and all three results read them.
     """
-    found = co.to_alerts(co.correlate(co.drop_normal(anomalies), gap_s, key_columns))
-    handled = dedup.suppress_duplicates(found, ttl_s)
+    found = co.to_alerts(co.correlate(co.drop_normal(anomalies), gap_s, key_columns, closures))
+    freed = None if releases is None else releases.select("dedup_key", "released_s").distinct()
+    handled = dedup.suppress_duplicates(found, ttl_s, releases=freed)
     if store:
         handled = materialise(handled, store, "handled")
     if "dst_ip" in key_columns:  # one target per incident: the rule cannot fire
