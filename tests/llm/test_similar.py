@@ -61,3 +61,47 @@ def test_a_lower_threshold_finds_its_pairs(docs_of):
     rows = texts_between(0.60, 0.65, 404, 92)
     kept = minhash.drop_near_copies(docs_of(rows), similar=(60, 100)).collect()
     assert sorted(r["doc_id"] for r in kept) == [i for i, _ in rows if i % 2 == 0]
+
+
+def brute_groups(rows, part):
+    """{id: smallest id reachable} over all pairs of texts."""
+    sets = [(i, {tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))}) for i, t in rows for w in [t.split()]]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[n + 1 :]:
+            if 100 * len(a & b) >= part * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("part", [80, 85])
+def test_groups_around_the_threshold_against_all_pairs(docs_of, part):
+    """Copies of copies whose similarities lie on both sides of the threshold; several groups, one far larger."""
+    rng = random.Random(part)
+    rows = []
+    for size in (150, 12, 5, 2):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        for _ in range(size):
+            words = list(base)
+            for place in rng.sample(range(120), rng.randint(0, 4)):
+                words[place] = f"v{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs_of(rows), similar=(part, 100)).collect()}
+    wanted = brute_groups(rows, part)
+    assert got == wanted and 4 < len(set(wanted.values())) < len(rows)
+
+
+def test_a_clashing_name_and_nulls_pass_the_stage(spark):
+    text = " ".join(f"w{n}" for n in range(40))
+    rows = [(1, text, 7, None), (2, text, 8, None), (3, None, None, None), (None, "", 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone__ int, half string")
+    kept = minhash.drop_near_copies(docs, similar=(80, 100))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["gone__"] or 0) for r in kept.collect()) == [(0, 9), (1, 7), (3, 0)]

@@ -10,7 +10,7 @@ that are just similar do: 12 at 0.85, 16 at 0.8.
 3. Links are confirmed in rounds. In each, a representative asks one member of the leading component of a bucket it is in,
    the one it meets in most buckets. Confirmed links join components, and buckets of one component are done with.
 4. What is still apart after the rounds is compared across components: the pairs of a bucket whose sizes and sketches allow
-   the similarity, each once. The parity sketch (bit h(x) flips for each shingle x) bounds the shingles that only one side
+   the similarity, each once, found by the half keys of one collection. The parity sketch (bit h(x) flips for each shingle x) bounds the shingles that only one side
    has from below, so it drops no link; the 256-bit MinHash sketch serves where sets are large. So a large group of copies
    costs a few comparisons for each member, and no link that the tables find between components is left unconfirmed.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import give_back, pick, run_folder, stored, utf8, words
+from tidegauge.llm.common import free_name, give_back, pick, run_folder, stored, utf8, words
 from tidegauge.llm.graph import components
 
 SHINGLE = 5
@@ -196,8 +196,8 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(rows.groupBy(key).count().filter("count > 1").select(key), key, "left_semi")
 
 
-def _buckets(reps: DataFrame, n_keys: int, folder: str) -> DataFrame:
-    """(key, rep): members of the tables' buckets with at least two."""
+def _buckets(reps: DataFrame, n_keys: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rep, left, right): half keys that others have too; (key, rep): members of the tables' buckets with at least two."""
     halves = reps.select(F.col("doc_id").alias("rep"), F.posexplode("halves").alias("slot", "half"))
     sides = stored(
         _shared(halves, "half").groupBy("rep").agg(
@@ -207,7 +207,7 @@ def _buckets(reps: DataFrame, n_keys: int, folder: str) -> DataFrame:
         f"{folder}/sides",
     )
     keyed = sides.select("rep", "right", F.explode("left").alias("l")).select("rep", "l", F.explode("right").alias("r"))
-    return stored(_shared(keyed.select(F.xxhash64("l", "r").alias("key"), "rep"), "key"), f"{folder}/buckets")
+    return sides, stored(_shared(keyed.select(F.xxhash64("l", "r").alias("key"), "rep"), "key"), f"{folder}/buckets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -240,23 +240,38 @@ def _asked(members: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame
     return best.select("p.a", "p.b").distinct()
 
 
-def _left_over(members: DataFrame, sets: DataFrame, tested: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(a, b): pairs of a bucket in different components that sizes and sketches allow, not compared so far."""
+def _left_over(
+    sides: DataFrame, labels: DataFrame, sets: DataFrame, tested: DataFrame, similar: tuple[int, int]
+) -> DataFrame:
+    """(a, b): pairs of a bucket in different components that sizes and sketches allow, not compared so far.
+
+    Who shares a bucket shares a half key of either collection. So rows meet by their left halves, a pair at the least one it
+    has in common only, and the right halves are looked at there. In the rows of a half only those outside its commonest
+    component meet the others: a large component costs each of them once, and nothing among its own.
+    """
     part, whole = similar
-    apart = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-    rows = members.join(apart.select("key"), "key", "left_semi").join(sets.drop("set"), "rep")
-    one = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in rows.columns if c != "key"])
-    two = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "key"])
+    facts = sets.drop("set").join(sides, "rep").join(labels, "rep")
+    rows = facts.withColumn("half", F.explode("left"))
+    leads = rows.groupBy("half", "label").count().groupBy("half").agg(
+        F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("labels")
+    ).filter("labels > 1").select("half", F.col("most.label").alias("lead"))
+    rows = rows.join(leads, "half")
+    named = lambda df, side: df.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns])
+    one, two = named(rows.filter("label <> lead"), "a"), named(rows, "b")
     differ = lambda names: reduce(add, [F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names])
     fits = (
-        (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b"))
+        (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("lead_b")) | (F.col("rep_a") < F.col("rep_b")))
         & (whole * F.least("size_a", "size_b") >= part * F.greatest("size_a", "size_b"))
         # of similar sets at most this share of all shingles stands on one side only
         & ((whole + part) * differ(_PARITIES) <= (whole - part) * (F.col("size_a") + F.col("size_b")))
         & (differ(_SKETCHES) <= sketch_apart(similar))
+        & F.arrays_overlap("right_a", "right_b")
+        & (F.array_min(F.array_intersect("left_a", "left_b")) == F.col("half_a"))
+    )
+    pairs = one.join(two, (F.col("half_a") == F.col("half_b")) & fits).select(
+        F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")
     )
-    pairs = one.join(two, (one["key"] == two["key"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _joined(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
@@ -269,7 +284,7 @@ def _joined(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     return stored(moved.select("rep", F.coalesce("root", "label").alias("label")), f"{folder}/labels")
 
 
-def _labels(buckets: DataFrame, sets: DataFrame, similar: tuple[int, int], folder: str) -> DataFrame:
+def _labels(sides: DataFrame, buckets: DataFrame, sets: DataFrame, similar: tuple[int, int], folder: str) -> DataFrame:
     """(rep, label): the component of every representative in a bucket."""
     labels = sets.select("rep", F.col("rep").alias("label")).distinct()
     tested: DataFrame | None = None
@@ -284,7 +299,7 @@ def _labels(buckets: DataFrame, sets: DataFrame, similar: tuple[int, int], folde
         labels = _joined(labels, links, f"{folder}/asked-{turn}")
     if tested is None:
         return labels  # no bucket at all
-    pairs = stored(_left_over(buckets.join(labels, "rep"), sets, tested, similar), f"{folder}/rest/pairs")
+    pairs = stored(_left_over(sides, labels, sets, tested, similar), f"{folder}/rest/pairs")
     if pairs.isEmpty():
         return labels
     links = stored(_confirmed(pairs, sets, similar), f"{folder}/rest/links")
@@ -309,10 +324,10 @@ def near_groups(
     full = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), f"{folder}/classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    buckets = _buckets(reps, n_keys, folder)
+    sides, buckets = _buckets(reps, n_keys, folder)
     members = buckets.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
     sets = stored(rows.join(members, "doc_id", "left_semi").mapInArrow(_whole_sets, _WHOLE_SETS), f"{folder}/sets")
-    labels = _labels(buckets, sets, similar, folder)
+    labels = _labels(sides, buckets, sets, similar, folder)
     grouped = (
         full.select("doc_id", "n_shingles", "digest").join(classes, "digest")
         .join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
@@ -327,5 +342,6 @@ def drop_near_copies(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: tuple[int, int] = SIMILAR
 ) -> DataFrame:
     """The documents near_groups keeps, one of each group, with all their columns."""
-    gone = near_groups(docs, text, doc_id, similar).filter("NOT kept").select(F.col("doc_id").alias("gone__")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), pick(doc_id).cast("long") == F.col("gone__"), "left_anti")
+    name = free_name(docs, "gone__")
+    gone = near_groups(docs, text, doc_id, similar).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), pick(doc_id).cast("long") == F.col(name), "left_anti")
