@@ -19,6 +19,7 @@ from catalog.views import (
 from tidegauge.operators import correlate as co
 from tidegauge.operators import dedup, escalate, lifecycle
 from tidegauge.plans import jobs
+from tidegauge.session import materialise, shared_dir
 
 AS_OF = 1706659200  # 2024-01-31
 
@@ -243,7 +244,9 @@ def alerting_with_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     keys = ("src_ip", "protocol")
     found = anomalies(spark, sf_dir)
+    store = shared_dir(spark)
     plain = co.to_alerts(co.correlate(co.drop_normal(found), GAP_S, keys))
+    plain = materialise(plain.select("alert_id", "incident_id", "correlation_key", "dedup_key", "severity", "anomaly_type", "detected_s"), store, "alerts")
     acknowledged = plain.filter(F.col("severity") == "medium").select(
         F.col("alert_id").alias("id"), F.lit("acknowledged").alias("status"), (F.col("detected_s") + 900).alias("at_s")
     )
@@ -251,7 +254,7 @@ def alerting_with_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("incident_id").alias("id"), F.lit("resolved").alias("status"), F.col("detected_s").alias("at_s")
     )
     handled_alerts, _, _ = jobs.alerting(
-        found, GAP_S, TTL_S, key_columns=keys,
+        found, GAP_S, TTL_S, key_columns=keys, store=store,
         releases=lifecycle.releases_of(acknowledged, plain), closures=lifecycle.closures_of(resolved, plain),
     )
     return comparable(handled_alerts.select("anomaly_id", "incident_id", "incident_seq", "suppressed", "priority"))

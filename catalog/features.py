@@ -245,6 +245,25 @@ def fallback_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+WITH {WINDOWED_SQL}
+SELECT {KEY_SQL}, {VOLUME_COLUMNS_SQL},
+       CAST(count(DISTINCT CASE protocol WHEN 'modbus' THEN function_code WHEN 'dnp3' THEN dnp3_code END) AS BIGINT)
+         AS fc_unique_count,
+       CASE WHEN protocol = 'modbus' THEN round(stddev_pop(start_address), 3) END AS addr_std,
+       CASE WHEN protocol = 'modbus' THEN round(avg(quantity), 3) END AS qty_mean
+FROM windowed WHERE protocol <> 'opcua' GROUP BY {GROUP_SQL}""")
+def pane_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows merged upward from partial states of panes."""
+    rows = features.extract_features(messages(spark, sf_dir), SIZES, roll_up=True)
+    return comparable(
+        rows.filter(F.col("protocol") != "opcua").select(
+            *WINDOW, "message_count", "bytes_total", "bytes_mean", "bytes_std", "bytes_min", "bytes_max",
+            "fc_unique_count", "addr_std", "qty_mean",
+        )
+    )
+
+
 @query(f"""
 WITH {WINDOWED_SQL}
 SELECT {KEY_SQL}, CAST(function_code AS VARCHAR) AS value, count(*) AS count,

@@ -154,6 +154,41 @@ def test_slices_give_the_same_gaps(spark):
     assert timing(None) == timing(60) == timing(7) == timing(1)
 
 
+@pytest.mark.parametrize("sizes", [(3600, 21600, 86400), (3600, 5400), (600,)])
+def test_windows_merged_from_panes_are_the_same(spark, sizes):
+    from catalog import views
+
+    def plain(frame):
+        rows = frame.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes]).collect()
+        return sorted((tuple(0.0 if v == 0 else v for v in r) for r in rows), key=str)
+
+    found = views.messages(spark, "/root/testdata/sf0.001")
+    merged = features.extract_features(found, sizes, roll_up=True)
+    assert plain(merged) == plain(features.extract_features(found, sizes))
+
+
+def test_deviations_are_exact_after_merging(spark):
+    rows = [("a", "b", "modbus", 60_000_000 * i, 10**12 + i % 3, i) for i in range(30)]
+    frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, protocol string, ts_us bigint, payload_size bigint, msg_id bigint")
+    from tidegauge.operators import panes
+
+    (row,) = panes.measured(frame, {"d": panes.spread("payload_size"), "m": panes.mean("payload_size")}, (60, 1800)).filter(
+        "window_size = 1800").collect()
+    assert row.d == pytest.approx((2 / 3) ** 0.5, abs=1e-12) and row.m == 10**12 + 1
+
+
+def test_a_hot_flow_is_sorted_in_slices_of_the_smallest_size(spark):
+    rows = spark.range(20_000).select(
+        F.lit("a").alias("src_ip"), F.lit("b").alias("dst_ip"), F.lit("modbus").alias("protocol"), (F.col("id") * 180_000).alias("ts_us")
+    )
+    plan = windows.inter_arrivals(rows, (60, 300, 900))._jdf.queryExecution().executedPlan().toString()
+    assert "slice" in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
+    sliced = windows.slice_gaps(rows, 60).groupBy("slice").count()
+    assert sliced.count() == 60 and sliced.agg(F.max("count")).first()[0] < 400
+    got = features.timing_features(rows, (60, 300, 900)).filter("window_size = 900").collect()
+    assert len(got) == 4 and all(r.iat_median == r.iat_min == r.iat_max == 0.18 for r in got)
+
+
 def test_a_new_protocol_can_be_registered(spark):
     register_extractor("s7", lambda: FeatureSet(
         measures={"s7_big": F.count_if(F.col("payload_size") > 60)},

@@ -1,11 +1,12 @@
 """Per-window feature vectors.
 
-Three aggregates share the window key and are joined on it at the end:
+Three aggregates share the window key and are joined on it at the end; all of them are made of partial states that add up,
+so they can also be taken per pane and merged upward (`panes`):
 
-* volume and protocol measures - plain aggregates, combined before the shuffle;
-* inter-arrival statistics - from `inter_arrivals`, also combined before the shuffle;
-* value histograms - one row per distinct value of a window, so that distinct counts, entropy
-  and the most common value never need a window's messages in one place.
+* volume and protocol measures - counts, sums, extremes and sums of squares;
+* inter-arrival statistics - gaps inside slices, and those between neighbouring slices;
+* value histograms - one row per distinct value, so that distinct counts, entropy and the most common value never need a
+  window's messages in one place.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import names
-from tidegauge.functions.stats import entropy_of_counts, or_zero, or_zero_double, ratio
+from tidegauge.functions.stats import or_zero, or_zero_double, ratio
+from tidegauge.operators import panes
+from tidegauge.operators.panes import Measure
 from tidegauge.operators.windows import (
     DEFAULT_SIZES,
     FLOW,
@@ -34,16 +37,16 @@ FALLBACK = "modbus"
 class FeatureSet:
     """What one protocol adds to the common features.
 
-    measures: aggregate columns over the messages of a window
+    measures: aggregates over the messages of a window; a `Measure` is merged from panes, a plain
+              aggregate column is computed on the messages of each window anew
     values:   text columns whose distribution is counted
     lists:    the same for columns that hold several values per message (arrays of text)
-    entropies: the value kinds whose counts are needed one by one; each has a small fixed
-               domain (one byte, or a handful of names), so the counts of a window are few
+    entropies: the value kinds whose entropy is needed
     modes:    the value kinds whose most common value is needed
     outputs:  feature columns over measures and histogram columns
     """
 
-    measures: dict[str, Column] = field(default_factory=dict)
+    measures: dict[str, Column | Measure] = field(default_factory=dict)
     values: dict[str, Column] = field(default_factory=dict)
     lists: dict[str, Column] = field(default_factory=dict)
     entropies: tuple[str, ...] = ()
@@ -72,8 +75,7 @@ def feature_family(protocol: Column) -> Column:
     return F.when(lowered.isin(*_REGISTRY), lowered).otherwise(FALLBACK)
 
 
-def _count_of(condition: Column) -> Column:
-    return F.count_if(condition)
+_count_of = panes.counted
 
 
 def _text(column: str) -> Column:
@@ -84,27 +86,28 @@ def _nonzero(column: str) -> Column:
     return F.when(F.col(column) != 0, _text(column))
 
 
-def _of(kind: str) -> Column:
-    """What the histogram of the window says about one kind; NULL without values of it."""
-    return F.try_element_at(F.col("kinds"), F.lit(kind))
+def _stat(kind: str, name: str) -> Column:
+    """What the histogram of the window says about one kind; null without values of it."""
+    return F.col(f"{kind}__{name}")
 
 
 def distinct(kind: str) -> Column:
-    return or_zero(_of(kind)["distinct"]).cast("bigint")
+    return or_zero(_stat(kind, "distinct")).cast("bigint")
 
 
 def total(kind: str) -> Column:
-    return or_zero(_of(kind)["total"]).cast("bigint")
+    return or_zero(_stat(kind, "total")).cast("bigint")
 
 
 def entropy(kind: str) -> Column:
-    empty = F.array().cast("array<bigint>")
-    return entropy_of_counts(F.coalesce(_of(kind)["counts"], empty), total(kind))
+    """log2(total) - sum of n*log2(n) / total over the counts n of the values."""
+    many = total(kind)
+    return F.when(many > 0, F.log2(many) - _stat(kind, "logs") / many).otherwise(0.0)
 
 
 def most_common(kind: str) -> Column:
     """Struct of the most common value and its count; ties go to the value seen first."""
-    return _of(kind)["mode"]
+    return _stat(kind, "mode")
 
 
 def _modbus() -> FeatureSet:
@@ -112,16 +115,16 @@ def _modbus() -> FeatureSet:
     exception = F.coalesce(F.col("is_exception"), F.lit(False))
     to_server = F.coalesce(F.col("dst_port") == 502, F.lit(False))
     measures = {
-        "mb_codes": F.count(code),
+        "mb_codes": panes.present(code),
         "mb_reads": _count_of(code.isin(names.MODBUS_READ)),
         "mb_writes": _count_of(code.isin(names.MODBUS_WRITE)),
         "mb_diagnostics": _count_of(code.isin(names.MODBUS_DIAGNOSTIC)),
-        "mb_addr_mean": F.avg("start_address"),
-        "mb_addr_std": F.stddev_pop("start_address"),
-        "mb_addr_min": F.min("start_address"),
-        "mb_addr_max": F.max("start_address"),
-        "mb_qty_mean": F.avg("quantity"),
-        "mb_qty_max": F.max("quantity"),
+        "mb_addr_mean": panes.mean("start_address"),
+        "mb_addr_std": panes.spread("start_address"),
+        "mb_addr_min": panes.smallest("start_address"),
+        "mb_addr_max": panes.largest("start_address"),
+        "mb_qty_mean": panes.mean("quantity"),
+        "mb_qty_max": panes.largest("quantity"),
         "mb_exceptions": _count_of(exception),
         "mb_requests": _count_of(~exception & to_server),
     }
@@ -168,18 +171,14 @@ def _modbus() -> FeatureSet:
 def _dnp3() -> FeatureSet:
     code = F.col("dnp3_code")
     groups = F.coalesce(F.col("object_groups"), F.array().cast("array<int>"))
-    in_groups = lambda wanted: F.coalesce(
-        F.sum(F.size(F.filter(groups, lambda g: g.isin(wanted)))), F.lit(0)
-    )
+    in_groups = lambda wanted: panes.summed(F.size(F.filter(groups, lambda g: g.isin(wanted))))
     measures = {
-        "dn_codes": F.count(code),
+        "dn_codes": panes.present(code),
         "dn_reads": _count_of(code.isin(names.DNP3_READ)),
         "dn_writes": _count_of(code.isin(names.DNP3_WRITE)),
         "dn_restarts": _count_of(code.isin(names.DNP3_RESTART)),
         "dn_responses": _count_of(code.isin(names.DNP3_RESPONSE)),
-        "dn_objects": F.coalesce(
-            F.sum(F.size(F.filter(groups, lambda g: g.isNotNull()))), F.lit(0)
-        ),
+        "dn_objects": panes.summed(F.size(F.filter(groups, lambda g: g.isNotNull()))),
         "dn_binary_in": in_groups(names.DNP3_BINARY_INPUT),
         "dn_binary_out": in_groups(names.DNP3_BINARY_OUTPUT),
         "dn_analog_in": in_groups(names.DNP3_ANALOG_INPUT),
@@ -231,15 +230,15 @@ def _opcua() -> FeatureSet:
     service = F.nullif(F.col("service_type"), F.lit(""))
     sequence = F.nullif(F.col("sequence_number"), F.lit(0))
     measures = {
-        "ua_types": F.count(kind),
+        "ua_types": panes.present(kind),
         "ua_handshakes": _count_of(kind.isin(names.OPCUA_HANDSHAKE)),
         "ua_data": _count_of(kind.isin(names.OPCUA_DATA)),
         "ua_errors": _count_of(kind.isin(names.OPCUA_ERROR)),
         "ua_opened": _count_of(service == "OpenSecureChannel"),
         "ua_closed": _count_of(service == "CloseSecureChannel"),
         "ua_service_errors": _count_of(service == "Error"),
-        "ua_seq_min": F.min(sequence),
-        "ua_seq_max": F.max(sequence),
+        "ua_seq_min": panes.smallest(sequence),
+        "ua_seq_max": panes.largest(sequence),
     }
     of_types = lambda part: ratio(F.col(part), F.col("ua_types"))
     channels = total("ua_channel")
@@ -294,6 +293,19 @@ def volume_measures() -> dict[str, Column]:
     }
 
 
+def volume_parts() -> dict[str, Measure]:
+    """The same measures in parts that panes can hold."""
+    size = or_zero(F.col("payload_size"))
+    return {
+        "message_count": panes.present(F.lit(1)),
+        "bytes_total": panes.summed(size),
+        "bytes_mean": panes.mean(size),
+        "bytes_std": panes.spread(size),
+        "bytes_min": panes.smallest(size),
+        "bytes_max": panes.largest(size),
+    }
+
+
 def volume_features(windowed: DataFrame) -> DataFrame:
     """Message count and payload size statistics; a missing size counts as 0."""
     return windowed.groupBy(*WINDOW).agg(
@@ -309,10 +321,11 @@ def timing_features(
 ) -> DataFrame:
     """Inter-arrival statistics of the windows that hold at least two messages.
 
-    A pair counts for a size when both ends share its window, so the sort is done once and not
-    once per size. The exact median is safe in memory: the gaps of a window of W microseconds
-    add up to at most W, so it has at most sqrt(2*W)+1 distinct ones, and the percentile
-    buffer holds one counter per distinct value.
+    Messages are sorted once, inside slices of a flow (by default of the smallest size). A slice hands on its first and last
+    time, joining slices adds the gap between them, and a pair counts for a size when both ends share its window. The exact
+    median is safe in memory: the gaps of a window of W microseconds add up to at most W, so it has at most sqrt(2*W)+1
+    distinct ones, and the percentile buffer, which merges like the other partial aggregates, holds one counter per
+    distinct value.
     """
     gap_us = F.col("ts_us") - F.col("prev_us")
     pairs = (
@@ -340,11 +353,11 @@ def _entries(feature_set: FeatureSet) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def value_histogram(windowed: DataFrame, sets: dict[str, FeatureSet] | None = None) -> DataFrame:
-    """One row per window, kind and distinct value: count and first arrival.
+def value_counts(rows: DataFrame, span: Sequence[str], sets: dict[str, FeatureSet] | None = None) -> DataFrame:
+    """One row per flow and time span, kind and distinct value: count and first arrival.
 
     Counts are combined before the shuffle and the value is part of the shuffle key, so a busy
-    window is spread over the tasks by its values.
+    span is spread over the tasks by its values.
     """
     sets = registered() if sets is None else sets
     family = feature_family(F.col("protocol"))
@@ -355,10 +368,10 @@ def value_histogram(windowed: DataFrame, sets: dict[str, FeatureSet] | None = No
         own = _entries(feature_set)
         entries = F.when(family == name, own) if entries is None else entries.when(family == name, own)
     return (
-        windowed.select(*WINDOW, "ts_us", "msg_id", F.explode(entries).alias("entry"))
-        .select(*WINDOW, "ts_us", "msg_id", "entry.kind", "entry.value")
+        rows.select(*span, "ts_us", "msg_id", F.explode(entries).alias("entry"))
+        .select(*span, "ts_us", "msg_id", "entry.kind", "entry.value")
         .filter(F.col("value").isNotNull())
-        .groupBy(*WINDOW, "kind", "value")
+        .groupBy(*span, "kind", "value")
         .agg(
             F.count(F.lit(1)).alias("count"),
             F.min(F.coalesce("msg_id", "ts_us")).alias("first_seen"),
@@ -366,43 +379,69 @@ def value_histogram(windowed: DataFrame, sets: dict[str, FeatureSet] | None = No
     )
 
 
+def value_histogram(windowed: DataFrame, sets: dict[str, FeatureSet] | None = None) -> DataFrame:
+    """One row per window, kind and distinct value."""
+    return value_counts(windowed, WINDOW, sets)
+
+
 def histogram_features(
     histogram: DataFrame, sets: dict[str, FeatureSet] | None = None
 ) -> DataFrame:
-    """`kinds`: per window a map from kind to distinct count, total, counts and most common value.
+    """Per window and kind: distinct count, total, sum of n*log2(n) and most common value, as columns of one row.
 
-    A window has a handful of kinds, so the map is small; both steps combine before they shuffle.
+    A window has a handful of kinds; every step combines before it shuffles.
     """
     sets = registered() if sets is None else sets
-    entropies = [k for s in sets.values() for k in s.entropies]
-    modes = [k for s in sets.values() for k in s.modes]
-    kind = F.col("kind")
-    seen_first = F.struct(F.col("count"), (-F.col("first_seen")).alias("seen"))
-    per_kind = histogram.groupBy(*WINDOW, "kind").agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.sum("count").alias("total"),
-        F.collect_list(F.when(kind.isin(entropies), F.col("count"))).alias("counts"),
-        F.max_by(F.struct("value", "count"), F.when(kind.isin(modes), seen_first)).alias("mode"),
-    )
-    entry = F.struct("kind", F.struct("distinct", "total", "counts", "mode").alias("stats"))
-    return per_kind.groupBy(*WINDOW).agg(F.map_from_entries(F.collect_list(entry)).alias("kinds"))
+    kind, count = F.col("kind"), F.col("count")
+    columns, modes = [], []
+    for feature_set in sets.values():
+        for name in feature_set.kinds():
+            mine = kind == name
+            columns.append(F.count_if(mine).alias(f"{name}__distinct"))
+            columns.append(F.sum(F.when(mine, count)).alias(f"{name}__total"))
+            if name in feature_set.entropies:
+                columns.append(F.sum(F.when(mine, count * F.log2(count))).alias(f"{name}__logs"))
+        modes += feature_set.modes
+    rows = histogram.groupBy(*WINDOW).agg(*columns)
+    if not modes:
+        return rows
+    seen_first = F.struct(count, (-F.col("first_seen")).alias("seen"))
+    common = histogram.filter(kind.isin(modes)).groupBy(*WINDOW).agg(*[
+        F.max_by(F.struct("value", "count"), F.when(kind == name, seen_first)).alias(f"{name}__mode") for name in modes
+    ])
+    return rows.join(common, WINDOW, "left")
 
 
 def extract_features(
     messages: DataFrame,
     sizes: Sequence[int] = DEFAULT_SIZES,
     slice_seconds: int | None = None,
+    roll_up: bool = False,
 ) -> DataFrame:
-    """One row per flow, size and window with every feature; those of other protocols are NULL."""
+    """One row per flow, size and window with every feature; those of other protocols are NULL.
+
+    With `roll_up` messages are aggregated once, per pane, and windows of all sizes merged upward from the panes' states:
+    the same rows, for less work where panes hold many messages and for more where they hold a few.
+    """
     sets = registered()
-    windowed = assign_windows(messages.filter(F.col("ts_us").isNotNull()), sizes)
-    measures = dict(volume_measures())
+    stamped = messages.filter(F.col("ts_us").isNotNull())
+    windowed = assign_windows(stamped, sizes)
+    merged, direct = volume_parts(), {}
     for feature_set in sets.values():
-        measures.update(feature_set.measures)
-    scalars = windowed.groupBy(*WINDOW).agg(*[c.alias(n) for n, c in measures.items()])
+        for name, measure in feature_set.measures.items():
+            (merged if isinstance(measure, Measure) else direct)[name] = measure
     timing = timing_features(messages, sizes, slice_seconds)
-    counted = histogram_features(value_histogram(windowed, sets), sets)
-    joined = scalars.join(timing, WINDOW, "left").join(counted, WINDOW, "left")
+    if roll_up:
+        joined = panes.measured(stamped, merged, sizes)
+        if direct:
+            anew = windowed.groupBy(*WINDOW).agg(*[c.alias(n) for n, c in direct.items()])
+            joined = joined.join(anew, WINDOW)
+        counts = panes.merged_counts(value_counts(panes.in_panes(stamped, sizes), panes.PANE, sets), sizes)
+    else:
+        whole = {name: measure.over_messages() for name, measure in merged.items()} | direct
+        joined = windowed.groupBy(*WINDOW).agg(*[c.alias(n) for n, c in whole.items()])
+        counts = value_histogram(windowed, sets)
+    joined = joined.join(timing, WINDOW, "left").join(histogram_features(counts, sets), WINDOW, "left")
     return joined.select(*WINDOW, *feature_columns(sets))
 
 

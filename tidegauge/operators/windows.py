@@ -28,6 +28,30 @@ def assign_windows(df: DataFrame, sizes: Sequence[int] = DEFAULT_SIZES) -> DataF
     return exploded.withColumn("window_start", floor_to(F.col("ts_us"), F.col("window_size")))
 
 
+def _timed(messages: DataFrame, length: int) -> DataFrame:
+    timed = F.col("ts_us").isNotNull()
+    if "has_time" in messages.columns:  # arrival times stand in for windows, not for gaps
+        timed = timed & F.col("has_time")
+    return messages.filter(timed).select(*FLOW, "ts_us").withColumn("slice", floor_to(F.col("ts_us"), length))
+
+
+def slice_gaps(messages: DataFrame, length: int) -> DataFrame:
+    """Neighbouring messages of a flow inside time slices: `FLOW, slice, ts_us, prev_us`."""
+    ordered = Window.partitionBy(*FLOW, "slice").orderBy("ts_us")
+    paired = _timed(messages, length).withColumn("prev_us", F.lag("ts_us").over(ordered))
+    return paired.filter(F.col("prev_us").isNotNull()).select(*FLOW, "slice", "ts_us", "prev_us")
+
+
+def gap_edges(messages: DataFrame, length: int) -> DataFrame:
+    """Neighbours across slice edges, from one (first, last) pair per slice: `FLOW, slice, ts_us, prev_us`."""
+    edges = _timed(messages, length).groupBy(*FLOW, "slice").agg(
+        F.min("ts_us").alias("ts_us"), F.max("ts_us").alias("last_us")
+    )
+    by_slice = Window.partitionBy(*FLOW).orderBy("slice")
+    across = edges.withColumn("prev_us", F.lag("last_us").over(by_slice))
+    return across.filter(F.col("prev_us").isNotNull()).select(*FLOW, "slice", "ts_us", "prev_us")
+
+
 def inter_arrivals(
     messages: DataFrame,
     sizes: Sequence[int] = DEFAULT_SIZES,
@@ -36,35 +60,15 @@ def inter_arrivals(
     """Microseconds between neighbouring messages of a flow: `FLOW, ts_us, prev_us`.
 
     The sort runs per flow *and* time slice, so a flow that carries a large part of all traffic
-    is spread over as many tasks as it has slices. The default slice is the least common
-    multiple of the sizes; no window reaches over its edge, so nothing is lost there. With a
-    shorter slice the neighbours across slice edges come from one (first, last) pair per slice.
+    is spread over as many tasks as it has slices. The default slice is the smallest size. The
+    neighbours across slice edges come from one (first, last) pair per slice; slices whose
+    length all sizes divide need none, as no window reaches over their edges.
     """
-    timed = F.col("ts_us").isNotNull()
-    if "has_time" in messages.columns:  # arrival times stand in for windows, not for gaps
-        timed = timed & F.col("has_time")
-    stamped = messages.filter(timed).select(*FLOW, "ts_us")
-    whole = math.lcm(*[int(s) for s in sizes])
-    length = slice_seconds or whole
-    sliced = stamped.withColumn("slice", floor_to(F.col("ts_us"), length))
-    ordered = Window.partitionBy(*FLOW, "slice").orderBy("ts_us")
-    inner = (
-        sliced.withColumn("prev_us", F.lag("ts_us").over(ordered))
-        .filter(F.col("prev_us").isNotNull())
-        .select(*FLOW, "ts_us", "prev_us")
-    )
-    if length % whole == 0:
+    length = slice_seconds or min(int(s) for s in sizes)
+    inner = slice_gaps(messages, length).drop("slice")
+    if length % math.lcm(*[int(s) for s in sizes]) == 0:
         return inner
-    edges = sliced.groupBy(*FLOW, "slice").agg(
-        F.min("ts_us").alias("ts_us"), F.max("ts_us").alias("last_us")
-    )
-    by_slice = Window.partitionBy(*FLOW).orderBy("slice")
-    across = (
-        edges.withColumn("prev_us", F.lag("last_us").over(by_slice))
-        .filter(F.col("prev_us").isNotNull())
-        .select(*FLOW, "ts_us", "prev_us")
-    )
-    return inner.unionByName(across)
+    return inner.unionByName(gap_edges(messages, length).drop("slice"))
 
 
 def window_bounds(windowed: DataFrame) -> DataFrame:
