@@ -141,7 +141,18 @@ def incident_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = incidents(spark, sf_dir)
     for name in ("src_ips", "dst_ips", "anomaly_types"):
         rolled = rolled.withColumn(name, F.array_join(name, ","))
-    return comparable(rolled.drop("status"))
+    return comparable(rolled.drop("status", "src_ips_count", "dst_ips_count", "anomaly_types_count"))
+
+
+@query(f"""
+WITH {CORRELATED_SQL}
+SELECT correlation_key, incident_id, kind, value, CAST(min(detected_s) AS BIGINT) AS first_s, count(*) AS alerts
+FROM (SELECT correlation_key, incident_id, detected_s, unnest(['src_ips', 'dst_ips', 'anomaly_types']) AS kind,
+             unnest([src_ip, dst_ip, anomaly_type]) AS value FROM correlated)
+WHERE value IS NOT NULL GROUP BY correlation_key, incident_id, kind, value""")
+def incident_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All addresses and types of incidents, a row each."""
+    return comparable(co.incident_members(correlated(spark, sf_dir)).drop("at"))
 
 
 @query(f"""

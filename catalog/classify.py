@@ -12,11 +12,16 @@ from catalog.views import (
     CORRELATED_SQL,
     GROUP_SQL,
     KEY_SQL,
+    SIZES,
+    SIZES_SQL,
     WINDOWED_SQL,
     anomalies,
     comparable,
+    messages,
     table,
 )
+from tidegauge.functions import names
+from tidegauge.operators import addresses
 from tidegauge.operators import classify as cl
 from tidegauge.operators.windows import WINDOW
 
@@ -119,6 +124,51 @@ def rule_type_by_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(judged.select(*WINDOW, cl.rule_type(rules, relative=True).alias("rule_type")))
 
 
+BASELINE_UNTIL = 1705276800  # 2024-01-15: what a flow touched before is its baseline
+
+NEW_ADDRESSES_SQL = WINDOWED_SQL + f""",
+touched AS (
+  SELECT src_ip, dst_ip, protocol, ts_us, unnest(range(start_address, start_address +
+           CASE WHEN function_code IN (15, 16) THEN greatest(quantity, 1) ELSE 1 END)) AS address
+  FROM messages WHERE protocol = 'modbus' AND function_code IN ({", ".join(map(str, names.MODBUS_WRITE))})),
+known AS (SELECT DISTINCT src_ip, dst_ip, protocol, address FROM touched WHERE ts_us < {BASELINE_UNTIL * 1_000_000}),
+seen AS (
+  SELECT DISTINCT src_ip, dst_ip, protocol, s.window_size,
+         ts_us // 1000000 - (ts_us // 1000000) % s.window_size AS window_start, address
+  FROM touched CROSS JOIN (VALUES {SIZES_SQL}) s(window_size)),
+fresh AS (
+  SELECT {GROUP_SQL}, count_if(k.address IS NULL) AS new_write_addresses
+  FROM seen LEFT JOIN known k USING (src_ip, dst_ip, protocol, address) GROUP BY {GROUP_SQL})
+"""
+
+
+@query(f"WITH {NEW_ADDRESSES_SQL} SELECT {KEY_SQL}, CAST(new_write_addresses AS BIGINT) AS new_write_addresses FROM fresh")
+def new_write_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses written in each window that the flow had not written before mid-January."""
+    return comparable(_new_addresses(spark, sf_dir))
+
+
+def _new_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = messages(spark, sf_dir)
+    return addresses.new_addresses(found, addresses.address_baseline(found, BASELINE_UNTIL), SIZES)
+
+
+@query(f"""
+WITH {NEW_ADDRESSES_SQL},
+writes AS (
+  SELECT {GROUP_SQL}, count_if(function_code IN ({", ".join(map(str, names.MODBUS_WRITE))})) / count(*) AS share
+  FROM windowed WHERE protocol = 'modbus' GROUP BY {GROUP_SQL})
+SELECT {KEY_SQL}, CASE WHEN share > 0.5 OR coalesce(new_write_addresses, 0) > 0 THEN 'command_injection' ELSE 'unknown' END
+         AS rule_type
+FROM writes LEFT JOIN fresh USING ({GROUP_SQL})""")
+def rule_type_new_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command injection by the share of writes or by writes to addresses the baseline lacks."""
+    rows = feature_rows(spark, sf_dir).filter(F.col("protocol") == "modbus")
+    judged = addresses.with_new_addresses(rows, _new_addresses(spark, sf_dir))
+    rules = {"command_injection": cl.RULES["command_injection"]}
+    return comparable(judged.select(*WINDOW, cl.rule_type(rules, addresses=("new_write_addresses",)).alias("rule_type")))
+
+
 @query(f"""
 WITH rows AS ({MODBUS_SQL}),
 typed AS (

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.alerting import alerts, handled, incidents, status_updates
+from catalog.alerting import alerts, correlated, handled, incidents, status_updates
 from catalog.registry import query
 from catalog.views import ANOMALIES_SQL, CORRELATED_SQL, PRIORITY_SQL, anomalies, comparable, table
+from tidegauge.operators import correlate as co
 from tidegauge.operators import escalate, lifecycle, reports
 
 PRIORITIES_SQL = PRIORITY_SQL + """,
@@ -27,8 +28,8 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY incident_coun
 SELECT role, ip, incident_count, max_priority FROM placed WHERE n <= 20""")
 def host_incident_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = handled(spark, sf_dir)
-    rolled = incidents(spark, sf_dir).join(escalate.incident_priority(found), "incident_id")
-    return comparable(reports.host_incident_summary(rolled))
+    members = co.incident_members(correlated(spark, sf_dir))
+    return comparable(reports.host_incident_summary(escalate.incident_priority(found), members=members))
 
 
 @query(f"""

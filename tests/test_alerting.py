@@ -302,3 +302,29 @@ def test_cef_line(spark):
     row = export.format_cef(found, export.Sender(vendor="V", product="P", host="h")).first()
     assert row.cef.startswith("CEF:0|V|P|1.0|ICS-CRITICAL|Reconnaissance detected from 10.0.0.1|10|src=10.0.0.1 dst=")
     assert row.syslog.startswith("<130>Jan 01 12:00:00 h ics-alerting: CEF:0|")
+
+
+def test_an_incident_with_many_addresses_stays_a_small_row(spark):
+    rows = spark.range(30_000).select(
+        F.lit("k").alias("correlation_key"), F.lit("i").alias("incident_id"), F.lit("s").alias("src_ip"),
+        F.format_string("d%05d", F.col("id")).alias("dst_ip"), F.lit("reconnaissance").alias("anomaly_type"),
+        (30_000 - F.col("id")).alias("detected_s"), F.col("id").alias("anomaly_id"), F.lit(0.5).alias("ensemble_score"),
+        F.col("id").alias("incident_seq"),
+    )
+    row = co.incident_rollup(rows, listed=7).first()
+    assert row.dst_ips == [f"d{n:05d}" for n in range(29_999, 29_992, -1)] and row.dst_ips_count == 30_000
+    assert (row.src_ips, row.multi_source, row.multi_target, row.anomaly_types_count) == (["s"], False, True, 1)
+    members = co.incident_members(rows)
+    assert members.count() == 30_002 and members.filter("kind = 'src_ips'").first().alerts == 30_000
+    plan = co.incident_rollup(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_hosts_beyond_the_lists_count_in_the_summary(spark):
+    from tidegauge.operators import reports
+
+    rows = [("i1", "src_ips", "a"), ("i1", "dst_ips", "b"), ("i2", "src_ips", "a"), ("i2", "dst_ips", "c"), ("i2", "dst_ips", "b")]
+    members = spark.createDataFrame(rows, "incident_id string, kind string, value string")
+    incidents = spark.createDataFrame([("i1", "P3"), ("i2", "P1")], "incident_id string, priority string")
+    got = sorted(tuple(r) for r in reports.host_incident_summary(incidents, 1, members).collect())
+    assert got == [("a", 2, "P1", "source"), ("b", 2, "P1", "destination")]

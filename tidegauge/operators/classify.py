@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,6 +125,10 @@ ALL_BOUNDS = ("data_exfiltration",)
 RELATIVE_RULES: dict[str, dict[str, float]] = {"volume_anomaly": {"message_count": 2.0, "bytes_total": 3.0}}
 # fixed value: share of the baseline by which the message count may deviate before the timing counts as anomalous
 COUNT_DEVIATION = 0.5
+# fixed values: counts of addresses not in the baseline above which a window counts as anomalous, by anomaly type
+ADDRESS_RULES: dict[str, dict[str, int]] = {
+    "command_injection": {"new_write_addresses": 0}, "unauthorized_access": {"new_addresses": 0},
+}
 
 
 def flow_baseline(rows: DataFrame) -> DataFrame:
@@ -147,11 +151,14 @@ def _relative(kind: str) -> list[Column]:
     return passed
 
 
-def rule_type(rules: Mapping[str, Mapping[str, float]] = RULES, relative: bool = False) -> Column:
+def rule_type(
+    rules: Mapping[str, Mapping[str, float]] = RULES, relative: bool = False, addresses: Sequence[str] = ()
+) -> Column:
     """First matching type in the order of the table, else `unknown`.
 
     With `relative`, for rows of `with_baseline`, a type also matches where a feature is out of
-    proportion to the flow's own baseline.
+    proportion to the flow's own baseline. `addresses` names the columns of new addresses the rows have
+    (`addresses.with_new_addresses`): `new_write_addresses`, `new_addresses`.
     """
     decided = None
     for kind, bounds in rules.items():
@@ -159,7 +166,8 @@ def rule_type(rules: Mapping[str, Mapping[str, float]] = RULES, relative: bool =
         hit = passed[0]
         for condition in passed[1:]:
             hit = (hit & condition) if kind in ALL_BOUNDS else (hit | condition)
-        for condition in _relative(kind) if relative else []:
+        fresh = [F.col(n) > most for n, most in ADDRESS_RULES.get(kind, {}).items() if n in addresses]
+        for condition in [*(_relative(kind) if relative else []), *fresh]:
             hit = hit | F.coalesce(condition, F.lit(False))
         decided = F.when(hit, kind) if decided is None else decided.when(hit, kind)
     return decided.otherwise("unknown")

@@ -142,10 +142,34 @@ def incident_sessions(
     )
 
 
-def incident_rollup(correlated: DataFrame, list_alerts: bool = False) -> DataFrame:
+LISTED = 100  # values of a kind an incident's own row lists
+_KINDS = {"src_ips": "src_ip", "dst_ips": "dst_ip", "anomaly_types": "anomaly_type"}
+
+
+def incident_members(correlated: DataFrame) -> DataFrame:
+    """One row per incident, kind (`src_ips`, `dst_ips`, `anomaly_types`) and distinct value: first seen, number of alerts.
+
+    Incidents may have any number of them, so this table of its own is where all are.
+    """
+    entries = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value")) for kind, column in _KINDS.items()
+    ])
+    return (
+        correlated.select(
+            "correlation_key", "incident_id", F.struct("detected_s", "anomaly_id").alias("at"), F.explode(entries).alias("entry")
+        )
+        .filter(F.col("entry.value").isNotNull() & (F.col("entry.value") != ""))
+        .groupBy("correlation_key", "incident_id", F.col("entry.kind").alias("kind"), F.col("entry.value").alias("value"))
+        .agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("alerts"))
+        .select("correlation_key", "incident_id", "kind", "value", F.col("at.detected_s").alias("first_s"), "at", "alerts")
+    )
+
+
+def incident_rollup(correlated: DataFrame, list_alerts: bool = False, listed: int = LISTED) -> DataFrame:
     """One row per incident: counts, maximum score, addresses and types in first-seen order.
 
-    The lists come from one row per incident and distinct value. The ids of the alerts are the
+    The lists hold the first `listed` values, the counts beside them (`src_ips_count` ...) all; the rest is in
+    `incident_members`. The ids of the alerts are the
     `incident_id` column of the alerts; `list_alerts` also writes them into an array, for
     incidents known to be small.
     """
@@ -166,33 +190,23 @@ def incident_rollup(correlated: DataFrame, list_alerts: bool = False) -> DataFra
             else []
         ),
     )
-    kinds = {"src_ips": "src_ip", "dst_ips": "dst_ip", "anomaly_types": "anomaly_type"}
-    entries = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value"))
-        for kind, column in kinds.items()
-    ])
-    seen = (
-        correlated.select(
-            *identity,
-            F.struct("detected_s", "anomaly_id").alias("at"),
-            F.explode(entries).alias("entry"),
-        )
-        .filter(F.col("entry.value").isNotNull() & (F.col("entry.value") != ""))
-        .groupBy(*identity, F.col("entry.kind").alias("kind"), F.col("entry.value").alias("value"))
-        .agg(F.min("at").alias("at"))
-    )
-    lists = seen.groupBy(*identity).agg(*[
+    members = incident_members(correlated)
+    sizes = members.groupBy(*identity).agg(*[F.count_if(F.col("kind") == kind).alias(f"{kind}_count") for kind in _KINDS])
+    in_order = Window.partitionBy(*identity, "kind").orderBy("at", "value")
+    # Spark keeps the first ones of every task before it shuffles
+    first = members.withColumn("place", F.row_number().over(in_order)).filter(F.col("place") <= listed)
+    lists = first.groupBy(*identity).agg(*[
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "value")))),
+            F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "value")))),
             lambda e: e["value"],
         ).alias(kind)
-        for kind in kinds
-    ])
+        for kind in _KINDS
+    ]).join(sizes, identity)
     rolled = totals.join(lists, identity)
     return (
         rolled.withColumn("status", F.lit("active"))
-        .withColumn("multi_source", F.size("src_ips") > 1)
-        .withColumn("multi_target", F.size("dst_ips") > 1)
+        .withColumn("multi_source", F.col("src_ips_count") > 1)
+        .withColumn("multi_target", F.col("dst_ips_count") > 1)
         .withColumn("title", incident_title())
         .withColumn("description", incident_description())
     )
@@ -200,7 +214,7 @@ def incident_rollup(correlated: DataFrame, list_alerts: bool = False) -> DataFra
 
 # the wording of titles and descriptions below is a fixed format
 def incident_title() -> Column:
-    kinds = F.size("anomaly_types")
+    kinds = F.col("anomaly_types_count")
     return (
         F.when(kinds == 1, F.concat(title_case(F.get("anomaly_types", F.lit(0))), F.lit(" Incident")))
         .when(

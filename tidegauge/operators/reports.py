@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.ordered import exact_quantiles
@@ -10,19 +10,27 @@ from tidegauge.functions.stats import one_row
 from tidegauge.functions.text import joined_key
 
 
-def host_incident_summary(incidents: DataFrame, top: int = 20) -> DataFrame:
-    """Per role and address: number of incidents and best priority; the first `top` of a role."""
-    def of(role: str, column: str) -> DataFrame:
-        return (
-            incidents.select(F.explode(column).alias("ip"), "priority")
-            .groupBy("ip")
-            .agg(F.count(F.lit(1)).alias("incident_count"), F.min("priority").alias("max_priority"))
-            .orderBy(F.desc("incident_count"), "ip")
-            .limit(top)
-            .withColumn("role", F.lit(role))
-        )
-
-    return of("source", "src_ips").unionByName(of("destination", "dst_ips"))
+def host_incident_summary(incidents: DataFrame, top: int = 20, members: DataFrame | None = None) -> DataFrame:
+    """Per role and address: number of incidents and best priority; the first `top` of a role.
+
+    `members` (`correlate.incident_members`) has every address of an incident; without it the lists in the incidents count,
+    which hold the first ones only. One pass over either; a task keeps its first `top` of a role before the shuffle.
+    """
+    roles = {"src_ips": "source", "dst_ips": "destination"}
+    if members is None:
+        named = lambda column, role: F.transform(column, lambda ip: F.struct(F.lit(role).alias("role"), ip.alias("ip")))
+        each = incidents.select(F.explode(F.concat(*[named(c, r) for c, r in roles.items()])).alias("e"), "priority")
+        each = each.select("e.role", "e.ip", "priority")
+    else:
+        role = F.when(F.col("kind") == "src_ips", "source").otherwise("destination")
+        hosts = members.filter(F.col("kind").isin(*roles)).select("incident_id", role.alias("role"), F.col("value").alias("ip"))
+        each = hosts.join(incidents.select("incident_id", "priority"), "incident_id").select("role", "ip", "priority")
+    per = each.groupBy("role", "ip").agg(
+        F.count(F.lit(1)).alias("incident_count"), F.min("priority").alias("max_priority")
+    )
+    place = Window.partitionBy("role").orderBy(F.desc("incident_count"), "ip")
+    ranked = per.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= top)
+    return ranked.select("ip", "incident_count", "max_priority", "role")
 
 
 def pipeline_counters(alerts: DataFrame, escalations: DataFrame) -> DataFrame:
