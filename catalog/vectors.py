@@ -133,9 +133,16 @@ def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(prep.temporal_split(core_rows(spark, sf_dir)).select(*WINDOW, "part"))
 
 
-@query()
+SHARE_SQL = "CAST('0x' || left(md5({}), 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"""
+WITH {CORE_SQL}
+SELECT {KEY_SQL}, CASE WHEN {SHARE_SQL.format("concat_ws('|', '7', src_ip, dst_ip, protocol, window_size, window_start)")} < 0.2
+                       THEN 'validation' ELSE 'train' END AS part
+FROM scored""")
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per part of a hash split; the hash has no SQL twin."""
+    """Rows per part of a hash split."""
     train, validation = prep.random_split(core_rows(spark, sf_dir), 0.2, seed=7)
     both = train.withColumn("part", F.lit("train")).unionByName(
         validation.withColumn("part", F.lit("validation"))
@@ -263,12 +270,14 @@ def dataset_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(found.withColumn("issues", F.array_join("issues", ",")))
 
 
-@query()
+@query(f"""
+WITH {ANOMALIES_SQL}, marked AS (SELECT anomaly_id, CAST(classification = 'critical' AS INT) AS y FROM anomalies)
+SELECT CAST(y AS BIGINT) AS y, anomaly_id FROM marked WHERE y = 1 OR {SHARE_SQL.format("concat_ws('|', '3', anomaly_id)")} < 0.1""")
 def rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All critical anomalies and a tenth of the others, chosen by hash."""
     marked = anomalies(spark, sf_dir).withColumn("y", (F.col("classification") == "critical").cast("int"))
     kept = evaluate.rebalance(marked, "y", 0.1, ["anomaly_id"], seed=3)
-    return comparable(kept.groupBy("y").agg(F.count(F.lit(1)).alias("n")))
+    return comparable(kept.select("y", "anomaly_id"))
 
 
 @query(f"""

@@ -60,3 +60,9 @@ def lookup(table: dict, key: Column, default: Column | None = None) -> Column:
     entries = [F.lit(x) for pair in table.items() for x in pair]
     found = F.try_element_at(F.create_map(*entries), key)
     return found if default is None else F.coalesce(found, default)
+
+
+def stable_share(seed: int, *keys: str) -> Column:
+    """A number in [0, 1) drawn from an MD5 digest of the seed and the keys: the same in every run, order and engine."""
+    named = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("double") / (1 << 32)

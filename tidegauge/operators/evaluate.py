@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.ordered import exact_quantiles, order_breaks, running_totals
 from tidegauge.functions.stats import one_row
+from tidegauge.functions.text import stable_share
 
 
 def evaluate_scores(df: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -172,7 +173,7 @@ def rebalance(
     df: DataFrame, label: str, normal_share: float, keys: Sequence[str], seed: int = 0
 ) -> DataFrame:
     """All anomalous rows and a stable share of the normal ones."""
-    kept = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < int(normal_share * 1_000_000)
+    kept = stable_share(seed, *keys) < normal_share
     return df.filter((F.col(label) == 1) | kept)
 
 

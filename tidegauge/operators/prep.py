@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.functions.ordered import running_totals
+from tidegauge.functions.text import stable_share
 from tidegauge.operators.windows import FLOW, WINDOW
 
 METADATA = {*WINDOW, "window_key", "extracted_at", "_extracted_at", "feature_protocol"}
@@ -198,7 +200,7 @@ def random_split(
     df: DataFrame, validation: float = 0.2, seed: int = 0, keys: Sequence[str] = WINDOW
 ) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows by a hash of their key: stable under re-runs and reordering."""
-    mark = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < int(validation * 1_000_000)
+    mark = stable_share(seed, *keys) < validation
     return df.filter(~mark), df.filter(mark)
 
 
@@ -208,16 +210,14 @@ def temporal_split(
 ) -> DataFrame:
     """`part`: train, validation or test by rank in time, cut at int(n * share).
 
-    The cut moments come from counts per distinct time; only the rows of the two cut moments
-    themselves are ranked among each other.
+    The cut moments come from running counts per distinct time, summed up in ranges of time; only the rows of the two cut
+    moments themselves are ranked among each other.
     """
     counts = df.groupBy(time).agg(F.count(F.lit(1)).alias("n"))
-    # one row per window start, a number that grows with the time covered
-    ordered = counts.withColumn("upto", F.sum("n").over(Window.orderBy(time)))
-    total = F.sum("n").over(Window.partitionBy())
+    ordered = running_totals(counts, time, ["n"]).withColumnRenamed("running_n", "upto")
     marks = []
     for share in shares:
-        wanted = F.floor(total * share)
+        wanted = F.floor(F.col("total_n") * share)
         marks.append(
             F.when((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted),
                    wanted - (F.col("upto") - F.col("n")))
