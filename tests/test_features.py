@@ -33,46 +33,64 @@ def vector(spark, rows, protocol):
 
 
 MODBUS = [
-    {"at": 0, "size": 100, "function_code": 3, "unit_id": 1, "start_address": 0, "quantity": 10},
-    {"at": 1, "size": 50, "function_code": 3, "unit_id": 1, "start_address": 10, "quantity": 5},
-    {"at": 2, "size": 75, "function_code": 6, "unit_id": 2, "start_address": 100, "quantity": 1},
+    {"at": 0, "size": 61, "function_code": 4, "unit_id": 3, "start_address": 40, "quantity": 2},
+    {"at": 2, "size": 20, "function_code": 4, "unit_id": 3, "start_address": 44, "quantity": 6},
+    {"at": 3, "size": 33, "function_code": 15, "unit_id": 3, "start_address": 8, "quantity": 12},
+    {"at": 7, "size": 20, "function_code": 4, "unit_id": 7, "start_address": 40, "quantity": 2},
+    {"at": 8, "size": 46, "function_code": 1, "unit_id": 5, "start_address": 72, "quantity": 8, "dst_port": 49200},
 ]
 
 
 def test_modbus(spark):
     v = vector(spark, MODBUS, "modbus")
-    assert (v.message_count, v.bytes_total, v.bytes_mean, v.bytes_min, v.bytes_max) == (3, 225, 75, 50, 100)
-    assert v.fc_unique_count == 2 and v.fc_most_common == 3
-    assert v.fc_read_ratio == pytest.approx(2 / 3) and v.fc_write_ratio == pytest.approx(1 / 3)
-    assert v.fc_most_common_ratio == pytest.approx(2 / 3)
-    assert (v.unit_id_unique_count, v.addr_unique_count) == (2, 3)
-    assert (v.addr_min, v.addr_max, v.addr_range) == (0, 100, 100)
-    assert (v.iat_mean, v.iat_std, v.iat_median) == (1, 0, 1)
-    assert (v.request_count, v.response_count, v.request_ratio) == (3, 0, 1)
-    assert v.fc_entropy == pytest.approx(0.918, abs=1e-3)
+    assert (v.message_count, v.bytes_total, v.bytes_mean, v.bytes_min, v.bytes_max) == (5, 180, 36, 20, 61)
+    assert v.bytes_std == pytest.approx(249.2**0.5)
+    assert (v.fc_unique_count, v.fc_most_common, v.fc_most_common_ratio) == (3, 4, 0.6)
+    assert (v.fc_read_ratio, v.fc_write_ratio) == (0.8, 0.2)
+    assert v.fc_entropy == pytest.approx(1.37095, abs=1e-5)  # shares of 3, 1 and 1 in 5
+    assert (v.unit_id_unique_count, v.addr_unique_count) == (3, 4)
+    assert (v.addr_min, v.addr_max, v.addr_range, v.addr_mean) == (8, 72, 64, 40.8)
+    assert (v.qty_mean, v.qty_max) == (6, 12)
+    assert (v.iat_mean, v.iat_min, v.iat_max, v.iat_median) == (2, 1, 4, 1.5)  # gaps 2, 1, 4, 1
+    assert v.iat_std == pytest.approx(1.5**0.5)
+    assert (v.request_count, v.response_count, v.request_ratio) == (4, 1, 0.8)
     assert v.msg_type_unique is None and v.master_ratio is None
 
 
 def test_modbus_exception(spark):
-    v = vector(spark, [{"at": 0, "size": 50, "function_code": 3, "is_exception": True, "exception_code": 2}], "modbus")
-    assert (v.exception_count, v.exception_ratio, v.exception_codes_unique) == (1, 1, 1)
+    rows = [
+        {"at": 5, "size": 9, "function_code": 16, "is_exception": True, "exception_code": 4},
+        {"at": 6, "size": 9, "function_code": 16, "start_address": 12, "quantity": 1},
+    ]
+    v = vector(spark, rows, "modbus")
+    assert (v.exception_count, v.exception_ratio, v.exception_codes_unique) == (1, 0.5, 1)
+    assert (v.request_count, v.response_count) == (1, 1)
+    assert (v.addr_unique_count, v.addr_mean, v.qty_max) == (1, 12, 1)
+
+
+def test_a_single_message_has_no_gaps_and_no_addresses(spark):
+    v = vector(spark, [{"at": 9, "size": 8, "function_code": 7}], "modbus")
     assert (v.iat_mean, v.iat_std, v.iat_min, v.iat_max, v.iat_median) == (0, 0, 0, 0, 0)
-    assert (v.request_count, v.response_count) == (0, 1)
-    assert (v.addr_unique_count, v.addr_mean, v.qty_max) == (0, 0, 0)
+    assert (v.addr_unique_count, v.addr_mean, v.addr_std, v.qty_max, v.fc_entropy) == (0, 0, 0, 0, 0)
 
 
 def test_dnp3(spark):
     rows = [
-        {"at": 0, "size": 120, "source": 1, "destination": 10, "is_master": True, "function_code": 4,
-         "application": {"function_code": 1, "objects": [{"group": 1, "variation": 2}]}},
-        {"at": 1, "size": 200, "source": 10, "destination": 1, "is_master": False, "function_code": 4,
-         "application": {"function_code": 0x81, "objects": [{"group": 30, "variation": 1}]}},
+        {"at": 0, "size": 18, "source": 3, "destination": 20, "is_master": True,
+         "application": {"function_code": 2, "objects": [{"group": 12, "variation": 1}, {"group": 41, "variation": 2}]}},
+        {"at": 4, "size": 22, "source": 20, "destination": 3, "is_master": False,
+         "application": {"function_code": 129, "objects": [{"group": 2, "variation": 2}]}},
+        {"at": 5, "size": 18, "source": 3, "destination": 21, "is_master": True,
+         "application": {"function_code": 1, "objects": [{"group": 32, "variation": 5}]}},
     ]
     v = vector(spark, rows, "dnp3")
-    assert (v.fc_unique_count, v.fc_read_ratio, v.fc_response_ratio) == (2, 0.5, 0.5)
-    assert (v.dnp3_src_unique, v.dnp3_dst_unique, v.dnp3_addr_pairs) == (2, 2, 2)
-    assert (v.obj_group_unique, v.master_ratio, v.unsolicited_count) == (2, 0.5, 0)
-    assert (v.obj_binary_input_ratio, v.obj_analog_input_ratio) == (0.5, 0.5)
+    third = pytest.approx(1 / 3)
+    assert v.fc_unique_count == 3
+    assert (v.fc_read_ratio, v.fc_write_ratio, v.fc_response_ratio) == (third, third, third)
+    assert (v.dnp3_src_unique, v.dnp3_dst_unique, v.dnp3_addr_pairs) == (2, 3, 3)
+    assert (v.obj_group_unique, v.unsolicited_count) == (4, 0) and v.master_ratio == pytest.approx(2 / 3)
+    assert (v.obj_binary_input_ratio, v.obj_binary_output_ratio) == (0.25, 0.25)
+    assert (v.obj_analog_input_ratio, v.obj_analog_output_ratio) == (0.25, 0.25)
 
 
 def test_dnp3_application_code_zero_falls_through(spark):
@@ -82,19 +100,18 @@ def test_dnp3_application_code_zero_falls_through(spark):
 
 
 def test_opcua(spark):
+    kinds = ["Message", "Error", "Acknowledge", "Message"]
+    services = ["Read", "CloseSecureChannel", None, "Read"]
     rows = [
-        {"at": 0, "size": 256, "message_type": "Hello", "secure_channel_id": 1, "security_token_id": 100,
-         "service_type": "OpenSecureChannel", "sequence_number": 1},
-        {"at": 1, "size": 128, "message_type": "Acknowledge", "secure_channel_id": 1, "security_token_id": 100,
-         "service_type": "OpenSecureChannel", "sequence_number": 2},
-        {"at": 2, "size": 512, "message_type": "Message", "secure_channel_id": 1, "security_token_id": 100,
-         "service_type": "Read", "sequence_number": 3},
+        {"at": 2 * n, "size": 40 + n, "message_type": kind, "secure_channel_id": channel, "security_token_id": token,
+         "service_type": service, "sequence_number": number}
+        for n, (kind, channel, token, service, number) in enumerate(zip(kinds, [4, 4, 6, 4], [11, 11, 12, 0], services, [7, 9, 12, 8]))
     ]
     v = vector(spark, rows, "opcua")
-    assert v.msg_type_unique == 3 and v.msg_handshake_ratio == pytest.approx(2 / 3)
-    assert v.msg_data_ratio == pytest.approx(1 / 3)
-    assert (v.channel_unique, v.token_unique) == (1, 1) and v.channel_reuse_ratio == pytest.approx(2 / 3)
-    assert (v.service_unique, v.service_open_channel, v.sequence_gaps) == (2, 2, 0)
+    assert (v.msg_type_unique, v.msg_handshake_ratio, v.msg_data_ratio, v.msg_error_ratio) == (3, 0.25, 0.5, 0.25)
+    assert (v.channel_unique, v.token_unique, v.channel_reuse_ratio) == (2, 2, 0.5)
+    assert (v.service_unique, v.service_open_channel, v.service_close_channel) == (2, 0, 1)
+    assert v.sequence_gaps == 2  # 10 and 11
 
 
 def test_sequence_gaps_count_missing_numbers(spark):
@@ -105,7 +122,7 @@ def test_sequence_gaps_count_missing_numbers(spark):
 
 def test_unknown_protocol_is_measured_as_modbus(spark):
     v = vector(spark, MODBUS, "unknown")
-    assert (v.protocol, v.feature_protocol, v.fc_unique_count) == ("unknown", "modbus", 2)
+    assert (v.protocol, v.feature_protocol, v.fc_unique_count) == ("unknown", "modbus", 3)
 
 
 def test_most_common_tie_goes_to_the_first(spark):
@@ -196,7 +213,7 @@ def test_a_new_protocol_can_be_registered(spark):
     ))
     try:
         v = vector(spark, MODBUS, "S7")
-        assert (v.feature_protocol, v.s7_big_count, v.fc_unique_count) == ("s7", 2, None)
+        assert (v.feature_protocol, v.s7_big_count, v.fc_unique_count) == ("s7", 1, None)
     finally:
         features._REGISTRY.pop("s7")
 
