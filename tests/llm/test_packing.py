@@ -60,3 +60,16 @@ def test_groups_and_empty_table(docs_of):
         at[r["sequence_id"]].append((r["offset"], r["length"]))
     assert all(sum(n for _, n in p) == max(o + n for o, n in p) <= 2048 for p in at.values())
     assert packing.pack_documents(docs_of([]), FILE, PATTERN).count() == 0
+
+
+def test_pieces_outlive_a_turn_of_the_memory(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_PIECES", 3)
+    code = packing.Encoder(FILE, PATTERN)
+    merged, piece = [], code._piece
+    monkeypatch.setattr(code, "_piece", lambda p: merged.append(p) or piece(p))
+    tok = Tokenizer.from_file(FILE)
+    for text in ("hot a b c", "hot d", "hot e f g", "hot h", "", "hot a"):
+        ids = np.frombuffer(code.encode(text), "<u4").tolist()
+        assert ids == tok.encode(text, add_special_tokens=False).ids
+    assert merged.count("hot") == 1 and merged.count(" a") == 2
+    assert len(code.known) + len(code.older) <= 2 * (3 + 4)

@@ -11,6 +11,7 @@ rest needs. Sequences that are a power of two long need no padding, so none is l
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,7 +29,7 @@ SEQUENCE = 2048
 END_ID = 1
 GROUP_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-KNOWN_PIECES = 100_000  # ids remembered by a task
+KNOWN_PIECES = 150_000  # in each of the two generations a task remembers
 _ENCODERS: dict[str, Encoder] = {}
 
 # The letters byte-level vocabularies are written in: visible Latin-1 bytes stand for themselves, the others, in
@@ -48,6 +49,7 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -55,20 +57,25 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         """Ids of a pre-token: the model alone merges its bytes."""
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(_BYTE_LETTERS)
-        return np.array([t.id for t in self.merge(letters)], dtype="<u4").tobytes()
+        return struct.pack(f"<{len(merged := self.merge(letters))}I", *[t.id for t in merged])
 
     def encode(self, text: str) -> bytes:
         """The ids of `text`, exactly as the tokenizer gives them for the whole text."""
         if any(s in text for s in self.special):
             return self._whole(text)  # a special token's text is cut out before the pattern is applied
         found = self.pieces(text)
-        known = self.known
-        new = set(found).difference(known)
-        if len(known) + len(new) > KNOWN_PIECES:
-            known.clear()
-            new = set(found)
-        known.update((p, self._piece(p)) for p in new)
-        return b"".join(map(known.__getitem__, found))
+        known, older = self.known, self.older
+        for p in set(found).difference(known):
+            ids = older.get(p)
+            known[p] = self._piece(p) if ids is None else ids
+        out = b"".join(map(known.__getitem__, found))
+        if len(known) > KNOWN_PIECES:  # pieces met again before the next turn move over, the rest is forgotten then
+            self.known, self.older = {}, known
+        return out
+
+    def forget(self) -> None:
+        """Gives the memory to the tasks of other stages."""
+        self.known, self.older = {}, {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -159,7 +166,7 @@ def pack_documents(
                 names, ids, held, next_id = [], [], 0, next_id + used
         if names:
             yield rows(names, ids, next_id, id_type)[0]
-        code.known.clear()
+        code.forget()
         give_back()
 
     picked = docs.select(pick(doc_id).alias("doc_id"), utf8(text).alias("text"))
