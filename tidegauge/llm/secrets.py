@@ -73,11 +73,15 @@ RULES: tuple[tuple[str, tuple[str, ...], re.Pattern, Callable[[re.Match], bool]]
     ("npm", ("npm_",), re.compile(rb"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), _checksummed),
     (
         "jwt", ("eyj",),
-        re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), _signed_token,
+        # a header is at most 4,096 characters
+        re.compile(rb"(eyJ[A-Za-z0-9_-]{1,4093}+)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"), _signed_token,
     ),
 )
 _ORDER = {kind: n for n, kind in enumerate((*BASE_KINDS, "github", "npm", "jwt"))}
 _HEX = re.compile(rb"[0-9a-f]{32,}")
+_RUN = re.compile(rb"[A-Za-z0-9_-]*+")
+_REST = re.compile(rb"\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]")
+_HEADER = 4096
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -100,6 +104,11 @@ def scan(data: bytes, keywords: ahocorasick.Automaton) -> list[tuple[str, int, i
             continue
         kind, _, pattern, valid = RULES[rule]
         match = pattern.match(data, start)
+        if not match and kind == "jwt":
+            # whatever starts in this run of characters goes on as it does: without the other parts none matches, with
+            # them none that starts too early
+            end = _RUN.match(data, start).end()
+            behind[rule] = max(start + 1, end - _HEADER) if _REST.match(data, end) else max(start + 1, end)
         if match:
             right = valid(match)
             # the contract of the base kinds drops short matches after a whole scan; of the others a match that fails
@@ -112,12 +121,19 @@ def scan(data: bytes, keywords: ahocorasick.Automaton) -> list[tuple[str, int, i
         return spans
     spans.sort(key=lambda s: (s[1], _ORDER[s[0]]))
     if not data.isascii():
-        spans = [(kind, _points(data, a), _points(data, b)) for kind, a, b in spans]
+        points = _points(data, sorted({place for _, a, b in spans for place in (a, b)}))
+        spans = [(kind, points[a], points[b]) for kind, a, b in spans]
     return spans
 
 
-def _points(data: bytes, end: int) -> int:
-    return len(data[:end].decode("utf-8", "replace"))
+def _points(data: bytes, places: list[int]) -> dict[int, int]:
+    """The code points before each of the rising places, in one pass over the text."""
+    points, before, behind = {}, 0, 0
+    for place in places:
+        before += len(data[behind:place].decode("utf-8", "replace"))
+        points[place] = before
+        behind = place
+    return points
 
 
 def _spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
