@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -289,6 +291,34 @@ def test_prior_context_against_a_plain_loop(spark):
         assert got[i] == (len(before), max(before, default=None))
 
 
+def test_prior_context_work_grows_with_the_seconds(spark):
+    """One busy asset with an alert every second: a frame summed anew for every second would take minutes."""
+    n, lookback = 400_000, 100_000
+    rows = spark.range(n).select(
+        F.lit("d").alias("dst_ip"), F.col("id").alias("detected_s"), (-F.col("id") / n).alias("ensemble_score")
+    )
+    started = time.monotonic()
+    found = lifecycle.prior_alert_context(rows, lookback).agg(
+        F.count_if(F.col("prior_alerts") != F.least("detected_s", F.lit(lookback))),
+        F.count_if(~F.col("prior_best").eqNullSafe(
+            F.when(F.col("detected_s") > 0, -F.greatest(F.col("detected_s") - lookback, F.lit(0)) / n)
+        )),
+        F.count("*"),
+    ).first()
+    assert tuple(found) == (0, 0, n)
+    assert time.monotonic() - started < 60
+
+
+def test_prior_context_of_missing_and_repeated_values(spark):
+    rows = [(None, 5, 0.9), ("a", None, 0.9), ("a", 5, None), ("a", 5, 0.2), ("a", 9, 0.4), ("a", 15, 0.1), ("a", 25, 0.1), ("b", -3, 0.3), ("b", 7, 0.1)]
+    frame = spark.createDataFrame(rows, "dst_ip string, detected_s bigint, ensemble_score double")
+    got = {(r.dst_ip, r.detected_s, r.ensemble_score): (r.prior_alerts, r.prior_best) for r in lifecycle.prior_alert_context(frame, 10).collect()}
+    assert got == {
+        (None, 5, 0.9): (None, None), ("a", None, 0.9): (None, None), ("a", 5, None): (0, None), ("a", 5, 0.2): (0, None),
+        ("a", 9, 0.4): (2, 0.2), ("a", 15, 0.1): (3, 0.4), ("a", 25, 0.1): (1, 0.1), ("b", -3, 0.3): (0, None), ("b", 7, 0.1): (1, 0.3),
+    }
+
+
 def test_ages_and_escapes(spark):
     frame = spark.createDataFrame([(0,), (100 - 61,), (-4000,), (-200000,)], "t bigint")
     ages = [r[0] for r in frame.select(relative_age(F.col("t"), 59)).collect()]

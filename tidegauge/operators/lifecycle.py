@@ -90,23 +90,31 @@ def prior_alert_context(
 ) -> DataFrame:
     """Alerts with the number and the best score of earlier alerts on the same asset.
 
-    Counts whole seconds before the alert, back to `lookback_s`. Seconds of an asset are summed
-    up first; each then serves its own time slice and the next one, so the range frame runs per
-    asset and slice instead of per asset.
+    Counts whole seconds before the alert, back to `lookback_s`. Seconds of an asset are summed up first. Blocks of
+    time are as long as the look-back, so what lies before a second is the beginning of its own block and the end of the
+    one before: each a running sum inside a block, so the work grows with the seconds and not with pairs of them.
+    `slice_s` changes neither results nor blocks; it is kept for callers that set it.
     """
-    slice_s = max(slice_s or lookback_s, lookback_s)
     seconds = alerts.groupBy(asset, "detected_s").agg(
         F.count(F.lit(1)).alias("n"), F.max("ensemble_score").alias("best")
     )
-    own = F.floor(F.col("detected_s") / slice_s)
-    spread = seconds.withColumn("own", own).withColumn(
-        "slice", F.explode(F.array(F.col("own"), F.col("own") + 1))
+    second, block = F.col("detected_s"), F.floor(F.col("detected_s") / lookback_s)
+    own = F.struct(block.alias("block"), second.alias("at"), F.lit(True).alias("own"), F.col("n"), F.col("best"))
+    # what the block before holds from `lookback_s` before the second on
+    earlier = F.struct(
+        (block - 1).alias("block"), (second - lookback_s).alias("at"), F.lit(False).alias("own"),
+        F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(seconds.schema["best"].dataType).alias("best"),
     )
-    frame = Window.partitionBy(asset, "slice").orderBy("detected_s").rangeBetween(-lookback_s, -1)
+    placed = seconds.select(asset, "detected_s", F.explode(F.array(own, earlier)).alias("e")).select(
+        asset, "detected_s", "e.*"
+    )
+    block_of = Window.partitionBy(asset, "block")
+    start = block_of.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    end = block_of.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     context = (
-        spread.withColumn("prior_alerts", F.coalesce(F.sum("n").over(frame), F.lit(0)))
-        .withColumn("prior_best", F.max("best").over(frame))
-        .filter(F.col("slice") == F.col("own"))
-        .select(asset, "detected_s", "prior_alerts", "prior_best")
+        placed.withColumn("found", F.when(F.col("own"), F.sum("n").over(start)).otherwise(F.sum("n").over(end)))
+        .withColumn("top", F.when(F.col("own"), F.max("best").over(start)).otherwise(F.max("best").over(end)))
+        .groupBy(asset, "detected_s")
+        .agg(F.coalesce(F.sum("found"), F.lit(0)).alias("prior_alerts"), F.max("top").alias("prior_best"))
     )
     return alerts.join(context, [asset, "detected_s"], "left")
