@@ -309,6 +309,22 @@ def test_prior_context_work_grows_with_the_seconds(spark):
     assert time.monotonic() - started < 60
 
 
+def test_risk_of_a_busy_asset_over_a_day(spark):
+    """Earlier alerts of a whole day count, and their number does not make the look-back slow."""
+    n, day = 300_000, 86_400
+    rows = spark.range(n).select(
+        F.lit("d").alias("dst_ip"), F.col("id").alias("detected_s"), F.lit(0.5).alias("ensemble_score"),
+        F.lit("reconnaissance").alias("anomaly_type"),
+    )
+    assets = spark.createDataFrame([("d", 5)], "ip string, importance int")
+    started = time.monotonic()
+    known = lifecycle.prior_alert_context(rows, day)
+    risk = 0.2 + 0.3 + 0.15 + 0.1 * F.least("detected_s", F.lit(day)) / day
+    wrong = cl.risk_severity(known, assets, repeat_limit=day).filter(F.abs(F.col("risk") - risk) > 1e-9)
+    assert wrong.count() == 0
+    assert time.monotonic() - started < 60
+
+
 def test_prior_context_of_missing_and_repeated_values(spark):
     rows = [(None, 5, 0.9), ("a", None, 0.9), ("a", 5, None), ("a", 5, 0.2), ("a", 9, 0.4), ("a", 15, 0.1), ("a", 25, 0.1), ("b", -3, 0.3), ("b", 7, 0.1)]
     frame = spark.createDataFrame(rows, "dst_ip string, detected_s bigint, ensemble_score double")
