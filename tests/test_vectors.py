@@ -214,3 +214,42 @@ def test_train_score_and_reload(spark, folder):
         jobs.score_features(frame, again).select("window_start", F.col("ensemble_score").alias("y")), "window_start"
     )
     assert both.filter(F.abs(F.col("x") - F.col("y")) > 1e-9).count() == 0
+
+
+def test_boundary_follows_its_plain_steps(spark):
+    """Against the same steps in one process; rows of all tasks take part."""
+    from tidegauge.operators.models import boundary
+
+    x = np.random.default_rng(3).normal(0, 1, (3000, 5)) * [1, 2, 1, 1, 3]
+    frame = spark.createDataFrame([(r.tolist(),) for r in x], "scaled array<double>").repartition(7)
+    model = fit_boundary(frame, nu=0.2, width=32, steps=6, seed=4)
+    z = boundary._lift(x, model.directions, model.phases)
+    weights = z.mean(axis=0)
+    offset = 0.5 * weights @ weights
+    for step in range(1, 7):
+        bad, rate = z @ weights < offset, 1 / (step + 1)
+        weights = weights - rate * (weights - z[bad].sum(axis=0) / (0.2 * len(x)))
+        offset = offset - rate * (bad.sum() / (0.2 * len(x)) - 1) * float(weights @ weights)
+    assert np.allclose(model.weights, weights) and np.isclose(model.offset, offset)
+    assert np.isclose(model.spread, (z @ weights).std())
+    scores = [r.s for r in frame.select(model.score(F.col("scaled")).alias("s")).collect()]
+    assert np.allclose(sorted(scores), sorted(1 / (1 + np.exp(((z @ weights) - offset) / model.spread))))
+
+
+def test_boundary_reads_vectors_in_place():
+    """A batch is a view of Arrow's buffer, also where it starts inside it: no object a vector."""
+    import pyarrow as pa
+
+    from tidegauge.operators.models import boundary
+
+    batch = pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0]])
+    found = boundary._matrix(batch.slice(1))
+    assert found.tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    assert np.shares_memory(found, batch.values.to_numpy())
+
+
+def test_boundary_refuses_vectors_it_cannot_stack(spark):
+    for rows in ([[1.0, 2.0], None], [[1.0, 2.0], [1.0]]):
+        frame = spark.createDataFrame([(r,) for r in rows], "scaled array<double>").coalesce(1)
+        with pytest.raises(Exception, match="one length"):
+            fit_boundary(frame, width=8, steps=2)

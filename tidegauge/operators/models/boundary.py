@@ -3,7 +3,7 @@
 The kernel machine is re-expressed so that it trains on any number of rows: random Fourier
 features (Rahimi and Recht 2007) approximate the Gaussian kernel, and the one-class objective
 (Scholkopf et al. 2001) is minimised by subgradient steps. A step is one Spark aggregation: each
-task sums its rows, only sums of fixed length leave it.
+task sums its rows, only sums of fixed length leave it. Vectors reach numpy as one Arrow buffer a batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +35,12 @@ class Boundary:
         """sigmoid(-distance) in [0, 1]; 0.5 lies on the boundary."""
         model = self
 
-        @F.pandas_udf("double")
-        def outside(vectors: pd.Series) -> pd.Series:
+        @F.arrow_udf("double")
+        def outside(vectors: pa.Array) -> pa.Array:
             if len(vectors) == 0:
-                return pd.Series([], dtype="float64")
-            distance = model.decision(np.stack(vectors.to_numpy())) / model.spread
-            return pd.Series(1.0 / (1.0 + np.exp(np.clip(distance, -50, 50))))
+                return pa.array([], type=pa.float64())
+            distance = model.decision(_matrix(vectors)) / model.spread
+            return pa.array(1.0 / (1.0 + np.exp(np.clip(distance, -50, 50))))
 
         return outside(vector)
 
@@ -65,6 +65,15 @@ class Boundary:
         )
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """The vectors as rows, without a Python object for each."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False)
+    width = len(vectors[0]) if vectors.null_count == 0 else 0
+    if x.size != len(vectors) * width or not (np.diff(vectors.offsets) == width).all():
+        raise ValueError("vectors have to be of one length, and none may be null")
+    return x.reshape(-1, width)
+
+
 def _lift(x: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / len(phases)) * np.cos(x @ directions + phases)
 
@@ -111,24 +120,23 @@ def _sums(rows: DataFrame, directions, phases, weights, offset) -> tuple:
     """Sum of the violating lifted rows, their number, and the sums of f and f^2 over all rows."""
     width = len(phases)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(width + 3)
         for batch in batches:
-            if len(batch) == 0:
+            if batch.num_rows == 0:
                 continue
-            z = _lift(np.stack(batch["scaled"].to_numpy()), directions, phases)
+            z = _lift(_matrix(batch.column(0)), directions, phases)
             if weights is None:
                 out[:width] += z.sum(axis=0)
                 continue
             f = z @ weights
             bad = f < offset
-            out[:width] += z[bad].sum(axis=0)
+            out[:width] += bad @ z
             out[width:] += (bad.sum(), f.sum(), (f * f).sum())
-        yield pd.DataFrame({"position": np.arange(width + 3), "part": out})
+        yield pa.RecordBatch.from_pydict({"position": np.arange(width + 3, dtype=np.int32), "part": out})
 
-    summed = (
-        rows.mapInPandas(partial, "position int, part double")
-        .groupBy("position").agg(F.sum("part").alias("part"))
-        .orderBy("position").toPandas()["part"].to_numpy()  # width + 3 numbers
-    )
+    parts = rows.mapInArrow(partial, "position int, part double").groupBy("position").agg(F.sum("part").alias("part"))
+    summed = np.zeros(width + 3)
+    for position, part in parts.collect():  # width + 3 numbers
+        summed[position] = part
     return summed[:width], summed[width], summed[width + 1], summed[width + 2]
