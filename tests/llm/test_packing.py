@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from public_tokenizers import PATTERN, path
 from tokenizers import Tokenizer
 
@@ -73,3 +74,18 @@ def test_pieces_outlive_a_turn_of_the_memory(monkeypatch):
         assert ids == tok.encode(text, add_special_tokens=False).ids
     assert merged.count("hot") == 1 and merged.count(" a") == 2
     assert len(code.known) + len(code.older) <= 2 * (3 + 4)
+
+
+def test_latin_texts_are_cut_by_the_faster_matcher(monkeypatch):
+    """The same pieces, hence ids, for every pair of characters it takes; other texts and patterns go the general way."""
+    code = packing.Encoder(FILE, PATTERN)
+    assert packing.BYTE_LEVEL == PATTERN
+    letters = [chr(n) for n in range(0x250)]
+    text = "".join(f"{a}{b} {a}'s  {b}{a}\n" for a in letters for b in " \n\x1c\x85\xa0aZé9½²_.'’"[:-1])
+    general = code.any_pieces
+    assert code.pieces(text) == general(text)
+    monkeypatch.setattr(code, "any_pieces", lambda t: general(t) if "’" in t else pytest.fail("matched the slow way"))
+    tok = Tokenizer.from_file(FILE)
+    for t in (text, "it’s 漢字 ½ ٣\u2003 x", " a", ""):
+        assert np.frombuffer(code.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert packing.Encoder(FILE, r"\S+|\s+").pieces("ab c's") == ["ab", " ", "c's"]

@@ -10,8 +10,11 @@ rest needs. Sequences that are a power of two long need no padding, so none is l
 
 from __future__ import annotations
 
+import codecs
 import heapq
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -36,6 +39,19 @@ _ENCODERS: dict[str, Encoder] = {}
 # order, for the letters from 256 on.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(_HIDDEN)}
+_LETTER_OF = "".join(chr(_BYTE_LETTERS.get(b, b)) for b in range(256))
+
+# The pattern of byte-level vocabularies, and the same for texts of letters below U+0250 with its classes spelt out:
+# `re` matches it more than twice as fast as `regex`.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = [chr(n) for n in range(0x250)]
+_LETTERS, _NUMBERS = ("".join(c for c in _LATIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+_BLANKS = r"\t-\r \x85\xa0"
+_LATIN_PIECES = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_BLANKS}{_LETTERS}{_NUMBERS}]+"
+    f"|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
+)
+_BEYOND = re.compile("[^\0-\u024f]")
 
 
 class Encoder:
@@ -46,7 +62,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(pattern).findall
+        self.any_pieces = regex.compile(pattern).findall
+        self.latin = pattern == BYTE_LEVEL
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -56,9 +73,12 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a pre-token: the model alone merges its bytes."""
-        letters = piece.encode("utf-8", "replace").decode("latin-1").translate(_BYTE_LETTERS)
+        letters = codecs.charmap_decode(piece.encode("utf-8", "replace"), "strict", _LETTER_OF)[0]
         return struct.pack(f"<{len(merged := self.merge(letters))}I", *[t.id for t in merged])
 
+    def pieces(self, text: str) -> list[str]:
+        return _LATIN_PIECES.findall(text) if self.latin and not _BEYOND.search(text) else self.any_pieces(text)
+
     def encode(self, text: str) -> bytes:
         """The ids of `text`, exactly as the tokenizer gives them for the whole text."""
         if any(s in text for s in self.special):
