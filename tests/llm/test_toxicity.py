@@ -83,3 +83,26 @@ def test_the_sample_is_bounded(tables):
     docs, labels = tables
     small = tx.train(docs, labels, sample=40)
     assert len(small.weights) < len(tx.train(docs, labels).weights) + 1
+
+
+def test_counting_holds_little_beside_the_features(monkeypatch):
+    """Same counts as one by one, in a few times the memory of the features; free memory goes back at the end."""
+    import tracemalloc
+
+    rng = tx.np.random.default_rng(2)
+    lists = [tx.np.unique(rng.integers(0, 60_000, 1500, dtype=tx.np.uint32)) for _ in range(1000)]
+    batch = tx.pd.DataFrame({"label": [int(n % 7 == 0) for n in range(1000)], "features": [x.tobytes() for x in lists]})
+    given = []
+    monkeypatch.setattr(tx, "give_back", lambda: given.append(1))
+    tracemalloc.start()
+    (got,) = tx._counted(iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5 * sum(x.nbytes for x in lists) and given == [1]
+    every = tx.np.concatenate(lists)
+    assert got["n"].sum() == len(every) and (got["feature"].to_numpy() == tx.np.unique(every)).all()
+    for row in got.iloc[::5000].itertuples():
+        have = [row.feature in x for x in lists]
+        assert (row.n, row.hits) == (sum(have), sum(h for h, y in zip(have, batch["label"]) if y))
+    (clean,) = tx._counted(iter([batch[batch["label"] == 0]]))
+    assert clean["hits"].sum() == 0

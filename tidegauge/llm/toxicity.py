@@ -89,16 +89,21 @@ def _extracted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 ],
             ))
         yield pd.DataFrame(rows, columns=["features", "pairs"])
+    give_back()
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In how many texts of a batch, and in how many toxic ones, each feature is."""
     for batch in batches:
         lists = [_ids(f) for f in batch["features"]]
-        every, at, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        toxic = np.repeat(batch["label"].to_numpy(dtype=float), [len(f) for f in lists])
-        hits = np.bincount(at, toxic, len(every)).astype(np.int64)
+        every, counts = np.unique(np.concatenate(lists), return_counts=True)
+        toxic = [found for found, label in zip(lists, batch["label"]) if label]
+        hits = np.zeros(len(every), dtype=np.int64)
+        if toxic:
+            found, times = np.unique(np.concatenate(toxic), return_counts=True)
+            hits[np.searchsorted(every, found)] = times
         yield pd.DataFrame({"feature": every.astype(np.int64), "n": counts, "hits": hits})
+    give_back()
 
 
 def _ids(data: bytes) -> np.ndarray:
